@@ -26,10 +26,17 @@ def max_rows(df: DataFrame) -> int:
     return int(v) if v else DEFAULT_MAX_ROWS
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (shared folder): cuts lineage so that a lookup
+    derived from the big tables is computed once, and survives the loss
+    of the executors that computed it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def sized_lookup(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Materialise ``df`` and broadcast it only if it has ``<= limit`` rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    m = df.checkpoint(eager=True)
+    m = materialise(df)
     n = m.count()
     lim = max_rows(df) if limit is None else limit
     return F.broadcast(m) if n <= lim else m

@@ -36,4 +36,4 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{m}")
 
 
-MODULES = ["text_queries", "feature_queries"]
+MODULES = ["text_queries", "feature_queries", "lexicon_queries", "tfidf_queries"]

@@ -18,7 +18,30 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 DEFAULT_SF_DIR = "/root/testdata/sf0.01"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+# Row key of each keyed table; posts, features and scores are all keyed
+# by it, so a table hash-partitioned on its key feeds later joins and
+# per-post aggregations without another exchange.
+KEYS = {"documents": "doc_id", "labels": "doc_id", "pages": "page_id",
+        "conversations": "conv_id", "embeddings": "vec_id", "benchmark": "item_id"}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """Scan one table.
+
+    A large table arrives in many file splits and is used as is.  A table
+    whose scan yields fewer splits than the cluster has cores (a single
+    small parquet file is one split) is hash-partitioned on its key into
+    ``spark.sql.shuffle.partitions`` parts: the CPU-heavy per-row text
+    work then uses every core, and joins / aggregations on the key reuse
+    that partitioning.  (At scale the same effect comes from tables
+    bucketed on the key.)
+    """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    key = KEYS.get(name)
+    if spread and key:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if df.rdd.getNumPartitions() < min(n, spark.sparkContext.defaultParallelism):
+            df = df.repartition(n, key)
+    return df
