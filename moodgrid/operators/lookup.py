@@ -46,3 +46,12 @@ def constant_table(spark, rows, schema: str) -> DataFrame:
     """A literal table of fixed, tiny size (ranges, labels, thresholds) —
     always safe to broadcast."""
     return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread a (small) intermediate over ``spark.sql.shuffle.partitions``
+    parts before CPU-heavy per-row work.  After a small aggregation AQE
+    coalesces partitions by *bytes*; an explicit repartition keeps the
+    expensive step (e.g. edit distances) on every core."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys) if keys else df.repartition(n)

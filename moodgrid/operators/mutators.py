@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
-from .lookup import constant_table, sized_lookup
+from .lookup import constant_table, sized_lookup, spread
 
 INF = float("inf")
+# Per-cluster mean scores are sums in engine-dependent order; they are
+# rounded to this many digits before the arg-max so that ties are ties.
+TIE_DIGITS = 12
 
 
 # --------------------------------------------------------------------------
@@ -91,16 +94,14 @@ def edit_cluster_scores(posts: DataFrame, word_clusters: DataFrame,
     cw = cluster_word_arrays(word_clusters).scalar()
     occ = posts.select("post_id", F.explode(T.tokens(text_col)).alias("tok")) \
         .select("post_id", F.lower("tok").alias("tok"))
-    vocab = occ.select("tok").distinct()
-    best = vocab.select("tok", F.explode(F.transform(
-        cw, lambda c: F.struct(
-            c["cluster"].alias("cluster"),
-            F.array_max(F.transform(c["words"], lambda w: T.edit_similarity(F.col("tok"), w))).alias("sim"))))
-        .alias("b")).select("tok", "b.cluster", "b.sim")
+    vocab = spread(occ.select("tok").distinct(), "tok")
+    best = vocab.select("tok", F.explode(cw).alias("c")).select(
+        "tok", F.col("c.cluster").alias("cluster"),
+        F.array_max(F.transform("c.words", lambda w: T.edit_similarity(F.col("tok"), w))).alias("sim"))
     n_tok = occ.groupBy("post_id").agg(F.count(F.lit(1)).alias("n_tok"))
     sums = occ.join(best, "tok").groupBy("post_id", "cluster").agg(F.sum("sim").alias("s"))
     return sums.join(n_tok, "post_id").select(
-        "post_id", "cluster", (F.col("s") / F.col("n_tok")).alias("score"))
+        "post_id", "cluster", F.round(F.col("s") / F.col("n_tok"), TIE_DIGITS).alias("score"))
 
 
 def pick_best_cluster(scores: DataFrame) -> DataFrame:
@@ -182,7 +183,7 @@ def similarity_cluster_scores(posts: DataFrame, lemma: DataFrame, wordlist: Data
     sums = hits.groupBy("post_id", "cluster").agg(F.sum("score").alias("s"))
     n_tok = posts.select("post_id", F.size(T.tokens("text")).alias("n_tok"))
     return sums.join(n_tok, "post_id").select(
-        "post_id", "cluster", (F.col("s") / F.col("n_tok")).alias("score"))
+        "post_id", "cluster", F.round(F.col("s") / F.col("n_tok"), TIE_DIGITS).alias("score"))
 
 
 def similarity_diff(scores: DataFrame, sentiment: DataFrame, posts: DataFrame) -> DataFrame:
