@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
-from .lookup import constant_table, sized_lookup, spread
+from .lookup import constant_table, materialise, sized_lookup, spread
 
 INF = float("inf")
 # Per-cluster mean scores are sums in engine-dependent order; they are
@@ -85,32 +85,40 @@ def edit_cluster_scores(posts: DataFrame, word_clusters: DataFrame,
     """(post_id, cluster, score) = mean over the post's tokens of the
     best edit similarity (T8) to any word of the cluster.
 
-    The similarity is computed once per *distinct* lower-cased token (R2),
-    against the cluster word list inlined as a scalar subquery (its size is
-    checked first), then joined back to the token occurrences."""
-    n_words = word_clusters.count()
+    The similarity is computed once per *distinct* lower-cased token (R2)
+    against the cluster word list — materialised, size-checked and inlined
+    as a scalar subquery — then joined back to the token occurrences."""
+    wc = materialise(word_clusters.select("cluster", "word"))
+    n_words = wc.count()
     if n_words > max_words:
         raise ValueError(f"word clusters too large to inline: {n_words} > {max_words}")
-    cw = cluster_word_arrays(word_clusters).scalar()
+    cw = cluster_word_arrays(wc).scalar()
     occ = posts.select("post_id", F.explode(T.tokens(text_col)).alias("tok")) \
         .select("post_id", F.lower("tok").alias("tok"))
     vocab = spread(occ.select("tok").distinct(), "tok")
-    best = vocab.select("tok", F.explode(cw).alias("c")).select(
-        "tok", F.col("c.cluster").alias("cluster"),
-        F.array_max(F.transform("c.words", lambda w: T.edit_similarity(F.col("tok"), w))).alias("sim"))
-    n_tok = occ.groupBy("post_id").agg(F.count(F.lit(1)).alias("n_tok"))
-    sums = occ.join(best, "tok").groupBy("post_id", "cluster").agg(F.sum("sim").alias("s"))
-    return sums.join(n_tok, "post_id").select(
-        "post_id", "cluster", F.round(F.col("s") / F.col("n_tok"), TIE_DIGITS).alias("score"))
+    # each distinct token meets every word of the bounded cluster list: the
+    # fuzzy best match has no index, so this nested loop is the operator.
+    # Rows of one token are generated together and the vocabulary is
+    # partitioned by token, so the max needs no further exchange.
+    pairs = vocab.select("tok", F.explode(cw).alias("c")) \
+        .select("tok", F.col("c.cluster").alias("cluster"), F.explode("c.words").alias("w"))
+    best = pairs.groupBy("tok", "cluster").agg(F.max(T.edit_similarity("tok", "w")).alias("sim"))
+    # every token has a row per cluster, so the row count per (post,
+    # cluster) is the post's token count
+    agg = occ.join(best, "tok").groupBy("post_id", "cluster").agg(
+        F.sum("sim").alias("s"), F.count(F.lit(1)).alias("n_tok"))
+    return agg.select("post_id", "cluster", F.round(F.col("s") / F.col("n_tok"), TIE_DIGITS).alias("score"))
 
 
 def pick_best_cluster(scores: DataFrame) -> DataFrame:
-    """K5: per post the cluster with the highest score (strictly above 0),
-    ties to the lowest cluster name -> (post_id, cluster, score)."""
-    pos = scores.where(F.col("score") > 0)
-    key = F.struct((-F.col("score")).alias("k"), F.col("cluster").alias("c"))
-    return pos.groupBy("post_id").agg(
-        F.min_by("cluster", key).alias("cluster"), F.max("score").alias("score"))
+    """K5: per post the cluster with the highest score, strictly above 0,
+    ties to the lowest cluster name -> (post_id, cluster, score); cluster
+    NULL when no cluster scores above 0."""
+    pos = F.col("score") > 0
+    key = F.when(pos, F.struct((-F.col("score")).alias("k"), F.col("cluster").alias("c")))
+    return scores.groupBy("post_id").agg(
+        F.min_by(F.when(pos, F.col("cluster")), key).alias("cluster"),
+        F.max(F.when(pos, F.col("score"))).alias("score"))
 
 
 def edit_cluster_score(posts: DataFrame, word_clusters: DataFrame, sentiment: DataFrame,
@@ -119,14 +127,11 @@ def edit_cluster_score(posts: DataFrame, word_clusters: DataFrame, sentiment: Da
     for a negative cluster, 0 for a neutral winner or no winner."""
     best = pick_best_cluster(edit_cluster_scores(posts, word_clusters, text_col))
     sent = F.broadcast(sentiment.select("cluster", "sentiment"))
-    signed = best.join(sent, "cluster", "left").select(
+    return best.join(sent, "cluster", "left").select(
         "post_id",
         F.when(F.col("sentiment") == "positive", F.col("score"))
         .when(F.col("sentiment") == "negative", -F.col("score"))
         .otherwise(F.lit(0.0)).alias("score"))
-    ids = posts.select("post_id")
-    return ids.join(signed, "post_id", "left").select(
-        "post_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 # --------------------------------------------------------------------------
