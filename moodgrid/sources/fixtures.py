@@ -277,3 +277,17 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
                         lambda s: F.concat(F.lit('{"word": "'), s["word"], F.lit('", "value": 1}'))), ", "),
                     F.lit("]}"))
     return allw.groupBy(F.col("cluster").alias("keyword")).agg(body.alias("body"))
+
+
+def auto_cluster_index(spark: SparkSession, sf_dir: str, k: int = C.KMEANS_K) -> DataFrame:
+    """S10 fixture: (cluster, sentiment, size) for clusters 0..k-1 of the
+    embedding labels; sentiment cycles positive, negative, neutral and an
+    invalid name (exercises J10 / J11)."""
+    e = table(spark, sf_dir, "embeddings").where(F.col("label") < k)
+    names = F.array(*[F.lit(x) for x in AUTO_SENTIMENTS])
+    g = e.groupBy(F.col("label").alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
+    return g.select("cluster", F.element_at(names, (F.col("cluster") % 4 + 1).cast("int")).alias("sentiment"),
+                    "size")
+
+
+AUTO_SENTIMENTS = ["positive", "negative", "neutral", "unknown"]

@@ -132,6 +132,17 @@ FROM (SELECT post_id, tags,
         CASE WHEN post_id % 97 = 0 THEN 'Not Available' ELSE text END AS _x,
         CASE label """ + " ".join(f"WHEN {v} THEN {_q(k)}" for k, v in C.LABEL_NAMES.items()) + """ END AS _n
       FROM posts)""", ["posts"]),
+    "responses": ("""SELECT cluster AS keyword,
+  '{"relations": [' || string_agg('{"word": "' || word || '", "value": 1}', ', ' ORDER BY rk, word) || ']}' AS body
+FROM (SELECT cluster, CAST(rk AS DOUBLE) AS rk, word FROM _rk
+      UNION ALL SELECT cluster, 2.5, word || ' pair' FROM _rk WHERE rk = 1
+      UNION ALL SELECT cluster, 3.5, word FROM _rk WHERE rk = 1)
+GROUP BY cluster""", ["_rk"]),
+    "_rk": ("""SELECT cluster, word, row_number() OVER (PARTITION BY cluster ORDER BY word) AS rk
+FROM word_clusters""", ["word_clusters"]),
+    "auto_cluster_index": ("""SELECT label AS cluster,
+  ['positive', 'negative', 'neutral', 'unknown'][label % 4 + 1] AS sentiment, count(*) AS size
+FROM embeddings WHERE label < 8 GROUP BY label""", []),
 }
 
 
