@@ -48,9 +48,9 @@ def pair_terms(lex: DataFrame) -> DataFrame:
     left = F.substring_index("term", "---", 1)
     right = F.expr("substr(term, instr(term, '---') + 3)")
     p = lex.where((F.col("kind") == "pair") & F.col("term").contains("---")) \
-        .select(left.alias("left"), right.alias("right"), "score")
+        .select("lexicon", left.alias("left"), right.alias("right"), "score")
     kind = lambda c: F.when(F.col(c).contains(" "), "b").otherwise("u")
-    p = p.select("left", kind("left").alias("lk"), "right", kind("right").alias("rk"), "score")
+    p = p.select("lexicon", "left", kind("left").alias("lk"), "right", kind("right").alias("rk"), "score")
     blk = None
     for (a, b), o in PAIR_BLOCK_ORDER.items():
         cond = (F.col("lk") == a) & (F.col("rk") == b)
@@ -63,19 +63,21 @@ def _key(b, i, j) -> Column:
                     i.cast("long").alias("i"), j.cast("long").alias("j"))
 
 
-def lexicon_hits(posts: DataFrame, lexicon: DataFrame, name: str,
+def lexicon_hits(posts: DataFrame, lexicon: DataFrame, names,
                  text_col: str = "text") -> DataFrame:
-    """(post_id, block, score, n, key) — one row per (post, matched lexicon
-    term occurrence group); n = number of hits it stands for."""
-    lex = materialise(lexicon.where(F.col("lexicon") == name).select("kind", "term", "score"))
+    """(post_id, lexicon, block, score, n, key) — one row per (post,
+    lexicon, matched term occurrence group); n = number of hits it stands
+    for.  Several lexicons share one pass over the post grams."""
+    names = [names] if isinstance(names, str) else list(names)
+    lex = materialise(lexicon.where(F.col("lexicon").isin(*names)).select("lexicon", "kind", "term", "score"))
     grams = post_grams(posts, text_col)
 
     # Uni / bi occurrences probe the (size-checked) lexicon
     ub = sized_lookup(lex.where(F.col("kind") != "pair").select(
-        F.when(F.col("kind") == "uni", "u").otherwise("b").alias("k"),
+        "lexicon", F.when(F.col("kind") == "uni", "u").otherwise("b").alias("k"),
         F.col("term").alias("gram"), "score"))
     ub_hits = grams.join(ub, ["k", "gram"]).select(
-        "post_id", F.when(F.col("k") == "u", "uni").otherwise("bi").alias("block"),
+        "post_id", "lexicon", F.when(F.col("k") == "u", "uni").otherwise("bi").alias("block"),
         "score", F.lit(1).cast("long").alias("n"), _key(0, F.col("i"), F.lit(0)).alias("key"))
 
     # Lexicon-driven pair join
@@ -94,34 +96,37 @@ def lexicon_hits(posts: DataFrame, lexicon: DataFrame, name: str,
     same = (F.col("lk") == F.col("rk")) & (F.col("left") == F.col("right"))
     n = F.when(same, F.col("cl") * (F.col("cl") - 1)).otherwise(F.col("cl") * F.col("cr"))
     j = F.when(same, F.col("sr")).otherwise(F.col("lr"))
-    pair_hits = pj.select("post_id", F.lit("pair").alias("block"), "score", n.cast("long").alias("n"),
+    pair_hits = pj.select("post_id", "lexicon", F.lit("pair").alias("block"), "score", n.cast("long").alias("n"),
                           _key(F.col("blk"), F.col("ll"), j).alias("key")).where(F.col("n") > 0)
     return ub_hits.unionByName(pair_hits)
 
 
-def lexicon_features(posts: DataFrame, lexicon: DataFrame, name: str,
+def lexicon_features(posts: DataFrame, lexicon: DataFrame, names,
                      text_col: str = "text") -> DataFrame:
-    """(post_id, 12 features) for lexicon ``name``; posts without
-    any hit get zeros."""
-    hits = lexicon_hits(posts, lexicon, name, text_col)
+    """(post_id, 12 features per lexicon) for one lexicon name or
+    several (one shared pass); posts without any hit get zeros."""
+    names = [names] if isinstance(names, str) else list(names)
+    hits = lexicon_hits(posts, lexicon, names, text_col)
     aggs = []
-    for b in BLOCKS:
-        inb = F.col("block") == b
-        posb = inb & (F.col("score") > 0)
-        aggs += [
-            F.sum(F.when(posb, F.col("n"))).alias(f"{name}_{b}_n_pos"),
-            F.sum(F.when(inb, F.col("n") * F.col("score"))).alias(f"{name}_{b}_sum"),
-            F.max(F.when(inb, F.col("score"))).alias(f"{name}_{b}_max"),
-            F.max_by(F.when(posb, F.col("score")), F.when(posb, F.col("key"))).alias(f"{name}_{b}_last"),
-        ]
+    for name in names:
+        for b in BLOCKS:
+            inb = (F.col("lexicon") == name) & (F.col("block") == b)
+            posb = inb & (F.col("score") > 0)
+            aggs += [
+                F.sum(F.when(posb, F.col("n"))).alias(f"{name}_{b}_n_pos"),
+                F.sum(F.when(inb, F.col("n") * F.col("score"))).alias(f"{name}_{b}_sum"),
+                F.max(F.when(inb, F.col("score"))).alias(f"{name}_{b}_max"),
+                F.max_by(F.when(posb, F.col("score")), F.when(posb, F.col("key"))).alias(f"{name}_{b}_last"),
+            ]
     per = hits.groupBy("post_id").agg(*aggs)
     ids = posts.select("post_id")
     out = ids.join(per, "post_id", "left")
     cols = []
-    for b in BLOCKS:
-        p = f"{name}_{b}_"
-        cols += [F.coalesce(F.col(p + "n_pos"), F.lit(0)).cast("long").alias(p + "n_pos"),
-                 F.coalesce(F.col(p + "sum"), F.lit(0.0)).alias(p + "sum"),
-                 F.greatest(F.lit(0.0), F.coalesce(F.col(p + "max"), F.lit(0.0))).alias(p + "max"),
-                 F.coalesce(F.col(p + "last"), F.lit(0.0)).alias(p + "last")]
+    for name in names:
+        for b in BLOCKS:
+            p = f"{name}_{b}_"
+            cols += [F.coalesce(F.col(p + "n_pos"), F.lit(0)).cast("long").alias(p + "n_pos"),
+                     F.coalesce(F.col(p + "sum"), F.lit(0.0)).alias(p + "sum"),
+                     F.greatest(F.lit(0.0), F.coalesce(F.col(p + "max"), F.lit(0.0))).alias(p + "max"),
+                     F.coalesce(F.col(p + "last"), F.lit(0.0)).alias(p + "last")]
     return out.select("post_id", *cols)
