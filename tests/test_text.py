@@ -30,7 +30,9 @@ def test_negation_scope(spark):
     got = _one(spark, T.negation_scope("t"), "I don't like this movie , but not bad at all !")
     assert got == "I don't like_NEG this_NEG movie_NEG , but not bad_NEG at_NEG all_NEG !"
     # cue test comes first: a cue holding punctuation still opens a scope
-    assert _one(spark, T.negation_scope("t"), "never. good") == "never. good_NEG"
+    assert _one(spark, T.negation_scope("t"), "don't. good") == "don't. good_NEG"
+    # a whole-word cue with punctuation attached is not a cue, it ends the scope
+    assert _one(spark, T.negation_scope("t"), "not never. good") == "not never. good"
     # case-sensitive cue list
     assert _one(spark, T.negation_scope("t"), "Never good") == "Never good"
     assert _one(spark, T.negation_scope("t"), "") == ""
@@ -61,7 +63,7 @@ def test_surface_counters(spark):
     assert r["n_all_caps"] == 2          # LOVE, SO (not I)
     assert r["n_hashtags"] == 1
     assert r["n_emoticons"] == 1 and r["last_emoticon"] == 0
-    assert r["n_question_runs"] == 2 and r["n_exclaim_runs"] == 1 and r["n_mixed_runs"] == 3
+    assert r["n_question_runs"] == 1 and r["n_exclaim_runs"] == 1 and r["n_mixed_runs"] == 3
     assert r["last_mark"] == 1
     assert r["n_elongated"] == 1
     assert r["pos_00"] == 1 and r["pos_05"] == 1 and r["pos_01"] == 1
