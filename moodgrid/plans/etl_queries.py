@@ -13,6 +13,7 @@ from ..sources import fixtures as X
 from ..sources.fixtures_sql import sql_with
 from ..sources.tables import table
 from .mutator_queries import U9
+from .text_queries import S1_SQL
 from .registry import register
 
 BATCH = 100
@@ -104,3 +105,41 @@ def k3_ranked_clusters(spark, sf_dir):
     w = Window.partitionBy("post_id").orderBy(F.desc("score"), "cluster")
     return s.select("post_id", "cluster", F.round("score", 6).alias("score"),
                     F.row_number().over(w).cast("long").alias("rank"))
+
+
+@register("s3_positional_merge", sql_with("""
+, _t AS (SELECT post_id, text, tags, row_number() OVER (ORDER BY post_id) - 1 AS idx
+         FROM clean_posts WHERE label IS NOT NULL)
+, _m AS (SELECT post_id, label, row_number() OVER (ORDER BY post_id) - 1 AS idx
+         FROM clean_posts WHERE label IS NOT NULL)
+SELECT _t.text, _t.tags, arg_max(_m.label, _t.idx) AS label
+FROM _t JOIN _m ON _m.idx = _t.idx
+GROUP BY _t.text, _t.tags""", "clean_posts"))
+def s3_positional_merge(spark, sf_dir):
+    """S3 + J8: a text file and a meta file aligned line by line (global
+    row index on each side, equi-joined), de-duplicated on (text, tags)
+    with the last line's label winning."""
+    lab = X.clean_posts(spark, sf_dir).where(F.col("label").isNotNull())
+    texts = E.with_row_index(lab.select("post_id", "text", "tags"), "post_id")
+    meta = E.with_row_index(lab.select("post_id", "label"), "post_id").select("idx", "label")
+    return texts.join(meta, "idx").groupBy("text", "tags").agg(F.max_by("label", "idx").alias("label"))
+
+
+def _split_col(id_col: str = "post_id"):
+    h = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("long") % 10
+    return F.when(h < 6, "train").when(h < 8, "dev").otherwise("test")
+
+
+@register("s4_split_loader", sql_with(f"""
+SELECT split, label, count(*) AS n_posts FROM (
+  SELECT CASE WHEN h < 6 THEN 'train' WHEN h < 8 THEN 'dev' ELSE 'test' END AS split, label
+  FROM (SELECT label, CAST(('0x' || substr(md5(CAST(post_id AS VARCHAR)), 1, 8))::UBIGINT % 10 AS BIGINT) AS h
+        FROM ({S1_SQL})))
+GROUP BY split, label""", "raw_lines"))
+def s4_split_loader(spark, sf_dir):
+    """The labelled scan with a train / dev / test split column
+    (seeded hash of the id); redundancy across splits is kept."""
+    from .text_queries import MASK_PNE
+    from ..operators import ingest as I
+    s = I.labelled_scan(X.raw_lines(spark, sf_dir), MASK_PNE).withColumn("split", _split_col())
+    return s.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_posts"))

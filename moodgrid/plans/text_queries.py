@@ -51,7 +51,7 @@ GROUP BY lang, label""", "clean_posts", "afinn"))(flagship)
 # Labelled-post scan over TSV lines
 # --------------------------------------------------------------------------
 
-@register("s1_labelled_scan", sql_with(f"""
+S1_SQL = f"""
 SELECT post_id, label, CASE WHEN _x = {_q(C.NOT_AVAILABLE)} THEN _x ELSE {elongation_sql('_c')} END AS text, tags
 FROM (SELECT post_id, label, _x, tags, string_split({url_user_sql('_x')}, '') AS _c
       FROM (SELECT post_id, {_LABEL_CASE.format(x='f[1]')} AS label, f[2] AS _x, f[3] AS tags
@@ -59,7 +59,10 @@ FROM (SELECT post_id, label, _x, tags, string_split({url_user_sql('_x')}, '') AS
                   FROM raw_lines)
             WHERE len(f) = 3)
       WHERE label IS NOT NULL AND (label & {MASK_PNE}) <> 0 AND _x <> {_q(C.NOT_AVAILABLE)})
-""", "raw_lines"))
+"""
+
+
+@register("s1_labelled_scan", sql_with(S1_SQL, "raw_lines"))
 def s1_labelled_scan(spark, sf_dir):
     lines = X.raw_lines(spark, sf_dir)
     return I.labelled_scan(lines, MASK_PNE).select("post_id", "label", "text", "tags")

@@ -12,6 +12,9 @@ from pyspark.sql import SparkSession
 # threshold becomes a broadcast hash join, otherwise it stays a
 # sort-merge join, and skewed partitions of a sort-merge join are split.
 DEFAULT_CONF = {
+    # local mode: the driver JVM is the only executor (ignored when the
+    # session already runs or a cluster manager sizes the executors)
+    "spark.driver.memory": "16g",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.adaptive.enabled": "true",

@@ -38,10 +38,25 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> D
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    df = spark.read.parquet(path)
     key = KEYS.get(name)
-    if spread and key:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        if df.rdd.getNumPartitions() < min(n, spark.sparkContext.defaultParallelism):
-            df = df.repartition(n, key)
+    if spread and key and _is_small(spark, path):
+        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
     return df
+
+
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Total size of a table's files (file-system metadata, no data read)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(p).getLength())
+
+
+def _is_small(spark: SparkSession, path: str) -> bool:
+    """Fewer bytes than one full split per core: the scan cannot keep the
+    cores busy (a small parquet file is often a single row group, read by
+    one task whatever the split size)."""
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    return input_bytes(spark, path) < split * spark.sparkContext.defaultParallelism
