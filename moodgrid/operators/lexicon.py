@@ -58,9 +58,16 @@ def pair_terms(lex: DataFrame) -> DataFrame:
     return p.withColumn("blk", blk)
 
 
+# Enumeration key of a hit as one long: block, then first position, then
+# second position (positions below 2**21 tokens per post).  A numeric key
+# keeps the per-post arg-max in a fixed-width hash-aggregation buffer.
+_POS_BITS = 21
+
+
 def _key(b, i, j) -> Column:
-    return F.struct(F.lit(b).cast("int").alias("b") if not isinstance(b, Column) else b.cast("int").alias("b"),
-                    i.cast("long").alias("i"), j.cast("long").alias("j"))
+    b = F.lit(b) if not isinstance(b, Column) else b
+    return (b.cast("long") * F.lit(1 << (2 * _POS_BITS)) + i.cast("long") * F.lit(1 << _POS_BITS)
+            + j.cast("long"))
 
 
 def lexicon_hits(posts: DataFrame, lexicon: DataFrame, names,
@@ -84,7 +91,11 @@ def lexicon_hits(posts: DataFrame, lexicon: DataFrame, names,
     pt = sized_lookup(pair_terms(lex))
     sides = sized_lookup(pt.select(F.col("lk").alias("k"), F.col("left").alias("gram"))
                          .union(pt.select(F.col("rk").alias("k"), F.col("right").alias("gram"))).distinct())
-    g = grams.join(sides, ["k", "gram"], "left_semi") \
+    # partition the (lexicon-filtered) grams by post only: the aggregate,
+    # both sides of the within-post join and the per-post result then share
+    # one partitioning (no exchange of the large pair-hit intermediate)
+    n_parts = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    g = grams.join(sides, ["k", "gram"], "left_semi").repartition(n_parts, "post_id") \
         .groupBy("post_id", "k", "gram").agg(
             F.count(F.lit(1)).alias("cnt"),
             F.slice(F.sort_array(F.collect_list("i"), asc=False), 1, 2).alias("top2"))

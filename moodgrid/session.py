@@ -26,6 +26,8 @@ DEFAULT_CONF = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # a join on (post_id, x) may reuse a partitioning on post_id alone
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

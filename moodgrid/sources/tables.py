@@ -58,5 +58,14 @@ def _is_small(spark: SparkSession, path: str) -> bool:
     """Fewer bytes than one full split per core: the scan cannot keep the
     cores busy (a small parquet file is often a single row group, read by
     one task whatever the split size)."""
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    split = parse_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
     return input_bytes(spark, path) < split * spark.sparkContext.defaultParallelism
+
+
+def parse_bytes(v: str) -> int:
+    """'134217728', '134217728b', '128m', '128MB', '1g' -> bytes."""
+    t = str(v).strip().lower().rstrip("b")
+    mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    if t and t[-1] in mult:
+        return int(float(t[:-1]) * mult[t[-1]])
+    return int(t)
