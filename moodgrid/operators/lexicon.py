@@ -76,7 +76,10 @@ def lexicon_hits(posts: DataFrame, lexicon: DataFrame, names,
     lexicon, matched term occurrence group); n = number of hits it stands
     for.  Several lexicons share one pass over the post grams."""
     names = [names] if isinstance(names, str) else list(names)
-    lex = materialise(lexicon.where(F.col("lexicon").isin(*names)).select("lexicon", "kind", "term", "score"))
+    has_counts = "n_pos" in lexicon.columns and "n_neg" in lexicon.columns
+    freq = (F.col("n_pos") + F.col("n_neg")) if has_counts else F.lit(0)
+    lex = materialise(lexicon.where(F.col("lexicon").isin(*names)).select(
+        "lexicon", "kind", "term", "score", freq.cast("long").alias("freq")))
     grams = post_grams(posts, text_col)
 
     # Uni / bi occurrences probe the (size-checked) lexicon
@@ -87,13 +90,26 @@ def lexicon_hits(posts: DataFrame, lexicon: DataFrame, names,
         "post_id", "lexicon", F.when(F.col("k") == "u", "uni").otherwise("bi").alias("block"),
         "score", F.lit(1).cast("long").alias("n"), _key(0, F.col("i"), F.lit(0)).alias("key"))
 
-    # Lexicon-driven pair join
-    pt = sized_lookup(pair_terms(lex))
-    sides = sized_lookup(pt.select(F.col("lk").alias("k"), F.col("left").alias("gram"))
-                         .union(pt.select(F.col("rk").alias("k"), F.col("right").alias("gram"))).distinct())
+    # Lexicon-driven pair join.  Each pair term is driven from its
+    # rarer side (post frequency from the uni/bi entries; a side missing
+    # there is rare): a frequent gram such as "the" then probes few terms,
+    # which keeps the candidate stream close to the true hits.
+    freq = lex.where(F.col("kind") != "pair").groupBy(
+        F.when(F.col("kind") == "uni", "u").otherwise("b").alias("k"), F.col("term").alias("gram")) \
+        .agg(F.max("freq").alias("f"))
+    pt0 = pair_terms(lex)
+    fl = freq.select(F.col("k").alias("lk"), F.col("gram").alias("left"), F.col("f").alias("fl"))
+    fr = freq.select(F.col("k").alias("rk"), F.col("gram").alias("right"), F.col("f").alias("fr"))
+    pt0 = pt0.join(fl, ["lk", "left"], "left").join(fr, ["rk", "right"], "left") \
+        .withColumn("drive_left", F.coalesce("fl", F.lit(0)) <= F.coalesce("fr", F.lit(0))).drop("fl", "fr")
+    pt0 = materialise(pt0)
+    pt_l = sized_lookup(pt0.where("drive_left").drop("drive_left"))
+    pt_r = sized_lookup(pt0.where(~F.col("drive_left")).drop("drive_left"))
+    sides = sized_lookup(pt0.select(F.col("lk").alias("k"), F.col("left").alias("gram"))
+                         .union(pt0.select(F.col("rk").alias("k"), F.col("right").alias("gram"))).distinct())
     # partition the (lexicon-filtered) grams by post only: the aggregate,
     # both sides of the within-post join and the per-post result then share
-    # one partitioning (no exchange of the large pair-hit intermediate)
+    # one partitioning (no exchange of the candidate stream)
     n_parts = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     g = grams.join(sides, ["k", "gram"], "left_semi").repartition(n_parts, "post_id") \
         .groupBy("post_id", "k", "gram").agg(
@@ -103,7 +119,10 @@ def lexicon_hits(posts: DataFrame, lexicon: DataFrame, names,
                   F.col("cnt").alias("cl"), F.get("top2", 0).alias("ll"))
     gr = g.select("post_id", F.col("k").alias("rk"), F.col("gram").alias("right"),
                   F.col("cnt").alias("cr"), F.get("top2", 0).alias("lr"), F.get("top2", 1).alias("sr"))
-    pj = gl.join(pt, ["lk", "left"]).join(gr, ["post_id", "rk", "right"])
+    # candidates stream past a per-partition hash table of the post grams
+    cand_l = gl.join(pt_l, ["lk", "left"]).join(gr.hint("shuffle_hash"), ["post_id", "rk", "right"])
+    cand_r = gr.join(pt_r, ["rk", "right"]).join(gl.hint("shuffle_hash"), ["post_id", "lk", "left"])
+    pj = cand_l.unionByName(cand_r)
     same = (F.col("lk") == F.col("rk")) & (F.col("left") == F.col("right"))
     n = F.when(same, F.col("cl") * (F.col("cl") - 1)).otherwise(F.col("cl") * F.col("cr"))
     j = F.when(same, F.col("sr")).otherwise(F.col("lr"))
@@ -118,18 +137,20 @@ def lexicon_features(posts: DataFrame, lexicon: DataFrame, names,
     several (one shared pass); posts without any hit get zeros."""
     names = [names] if isinstance(names, str) else list(names)
     hits = lexicon_hits(posts, lexicon, names, text_col)
+    # level 1: plain aggregates per (post, lexicon, block) over the hit rows
+    pos = F.col("score") > 0
+    blk = hits.groupBy("post_id", "lexicon", "block").agg(
+        F.sum(F.when(pos, F.col("n"))).alias("n_pos"),
+        F.sum(F.col("n") * F.col("score")).alias("sum"),
+        F.max("score").alias("max"),
+        F.max_by(F.when(pos, F.col("score")), F.when(pos, F.col("key"))).alias("last"))
+    # level 2: at most (lexicons x 3) small rows per post -> columns
     aggs = []
     for name in names:
         for b in BLOCKS:
             inb = (F.col("lexicon") == name) & (F.col("block") == b)
-            posb = inb & (F.col("score") > 0)
-            aggs += [
-                F.sum(F.when(posb, F.col("n"))).alias(f"{name}_{b}_n_pos"),
-                F.sum(F.when(inb, F.col("n") * F.col("score"))).alias(f"{name}_{b}_sum"),
-                F.max(F.when(inb, F.col("score"))).alias(f"{name}_{b}_max"),
-                F.max_by(F.when(posb, F.col("score")), F.when(posb, F.col("key"))).alias(f"{name}_{b}_last"),
-            ]
-    per = hits.groupBy("post_id").agg(*aggs)
+            aggs += [F.max(F.when(inb, F.col(st))).alias(f"{name}_{b}_{st}") for st in STATS]
+    per = blk.groupBy("post_id").agg(*aggs)
     ids = posts.select("post_id")
     out = ids.join(per, "post_id", "left")
     cols = []
