@@ -102,7 +102,10 @@ def edit_cluster_scores(posts: DataFrame, word_clusters: DataFrame,
     # partitioned by token, so the max needs no further exchange.
     pairs = vocab.select("tok", F.explode(cw).alias("c")) \
         .select("tok", F.col("c.cluster").alias("cluster"), F.explode("c.words").alias("w"))
-    best = pairs.groupBy("tok", "cluster").agg(F.max(T.edit_similarity("tok", "w")).alias("sim"))
+    # the per-token table is computed once and probed by every occurrence
+    # (broadcast while its size allows, so occurrences keep their post
+    # partitioning for the per-post sums)
+    best = sized_lookup(pairs.groupBy("tok", "cluster").agg(F.max(T.edit_similarity("tok", "w")).alias("sim")))
     # every token has a row per cluster, so the row count per (post,
     # cluster) is the post's token count
     agg = occ.join(best, "tok").groupBy("post_id", "cluster").agg(

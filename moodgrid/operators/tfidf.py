@@ -52,7 +52,10 @@ def tfidf(posts: DataFrame, terms: Column, max_df: float = C.TFIDF_MAX_DF) -> Da
     """(post_id, term, weight) — L2-normalised tf·idf."""
     tf = term_frequencies(posts, terms)
     n_docs = posts.select(F.count(F.lit(1)).alias("n")).scalar()
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # document frequency straight from the per-post distinct terms: no
+    # second (post, term) aggregation
+    dfreq = posts.select(F.explode(F.array_distinct(terms)).alias("term")) \
+        .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = lambda d: F.log((1.0 + n_docs) / (1.0 + d)) + 1.0
     # terms present in >= 2 posts: the lookup; df == 1 terms use idf(1)
     common = sized_lookup(dfreq.where(F.col("df") >= 2))
