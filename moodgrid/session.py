@@ -50,6 +50,7 @@ def get_session(master: str | None = None, app: str = "moodgrid",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -76,3 +77,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     os.makedirs(path, exist_ok=True) if path.startswith("/") else None
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``moodgrid`` importable in Python workers (the pandas kernels
+    of the distance operators): zip the package once per context and add
+    it with ``addPyFile`` — the same as ``spark-submit --py-files``."""
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    import shutil
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = tempfile.mkdtemp(prefix="moodgrid-pyfiles-")
+    z = shutil.make_archive(os.path.join(out, "moodgrid"), "zip", root_dir=root, base_dir="moodgrid")
+    sc.addPyFile(z)
+    _SHIPPED.add(key)
