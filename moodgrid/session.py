@@ -74,7 +74,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                 "shared checkpoint folder on the cluster")
         path = tempfile.mkdtemp(prefix="moodgrid-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    os.makedirs(path, exist_ok=True) if path.startswith("/") else None
+    if path.startswith("/"):
+        os.makedirs(path, exist_ok=True)
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
 
