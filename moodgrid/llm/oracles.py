@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .quality import STOP_WORDS
+from .secrets import BASE, RULES
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
@@ -30,3 +31,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_st
             AND n_stop_words >= 2 AND n_dup_lines / n_lines <= 0.30 END AS kept
 FROM b
 """
+
+
+def _secrets() -> str:
+    """Per rule: pieces, matches and groups as lists, offsets as list sums."""
+    lists = " UNION ALL ".join(
+        f"""SELECT doc_id, {i} AS rank, '{r.kind}' AS kind, {r.least} AS least,
+            string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}', 0) AS hits,
+            regexp_extract_all(t, '{p}', {r.group}) AS parts FROM d WHERE regexp_matches(t, '{p}')"""
+        for i, r in enumerate(RULES) for p in [r.pattern])
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+l AS ({lists}),
+h AS (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM l),
+s AS (SELECT doc_id, rank, kind, length(parts[k]) >= least AS ok, length(hits[k]) AS n,
+        list_sum(list_transform(gaps[1:k], lambda x: length(x)))
+        + coalesce(list_sum(list_transform(hits[1:k-1], lambda x: length(x))), 0) AS a FROM h),
+f AS (SELECT *, kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT AS span FROM s WHERE ok),
+g AS (SELECT doc_id, {', '.join(f"count(*) FILTER (rank = {i}) AS n_{r.kind}" for i, r in enumerate(BASE))},
+        string_agg(span, ',' ORDER BY a, rank) FILTER (rank < {len(BASE)}) AS base,
+        string_agg(span, ',' ORDER BY a, rank) AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, {', '.join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in BASE)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+SECRETS = _secrets()

@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ensure_checkpoint_dir
 from . import oracles
+from .lm import lm_report
+from .packing import pack
 from .quality import quality_report
 from .registry import ORACLES, QUERIES, register, table
+from .secrets import secret_report
+
+
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder of this run inside the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register("op1_ppm_scores")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_report(table(spark, sf_dir, "documents"))
 
 
 @register("op2_quality_rules", oracles.QUALITY)
@@ -14,6 +30,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+@register("op6_length_buckets")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+@register("op7_secret_ledger", oracles.SECRETS)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"), run_folder(spark, "ledger"))
+
+
 def catalog() -> tuple[dict, dict]:
     """Copies of the queries and of their SQL, by name."""
     return dict(QUERIES), dict(ORACLES)
