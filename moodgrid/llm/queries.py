@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 from . import oracles
+from .langmix import language_report
 from .lm import lm_report
 from .packing import pack
 from .quality import quality_report
@@ -40,6 +41,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"), run_folder(spark, "ledger"))
 
 
+@register("op10_language_mixture")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
 def catalog() -> tuple[dict, dict]:
     """Copies of the queries and of their SQL, by name."""
     return dict(QUERIES), dict(ORACLES)
