@@ -14,6 +14,7 @@ from .packing import pack
 from .quality import quality_report
 from .registry import ORACLES, QUERIES, register, table
 from .secrets import secret_report
+from .toxicity import toxicity_report
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -31,6 +32,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+@register("op3_toxic_spans")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @register("op6_length_buckets")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
