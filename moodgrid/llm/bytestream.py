@@ -98,17 +98,26 @@ def word_bounds(chunk: Chunk, space: np.ndarray = SPACE) -> tuple[np.ndarray, np
     return a, np.flatnonzero(end) + 1, np.searchsorted(chunk.offsets, a, side="right") - 1
 
 
-def word_codes(chunk: Chunk, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit code of every word: a polynomial of its bytes, mixed."""
+def running_code(chunk: Chunk) -> np.ndarray:
+    """Running sums of the bytes' polynomial, from which any run's code follows."""
+    n = len(chunk.data)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_CODE[chunk.data] * _powers(n + 1)[0][:n], out=total[1:])
+    return total
+
+
+def run_codes(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit code of every run of bytes: a polynomial of its bytes, mixed."""
     if len(start) == 0:
         return np.zeros(0, dtype=np.uint64)
-    power, inverse = _powers(len(chunk.data) + 1)
-    total = np.zeros(len(chunk.data) + 1, dtype=np.uint64)
-    np.cumsum(_CODE[chunk.data] * power[:len(chunk.data)], out=total[1:])
-    h = (total[end] - total[start]) * inverse[start]
+    h = (total[end] - total[start]) * _powers(len(total))[1][start]
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def word_codes(chunk: Chunk, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return run_codes(running_code(chunk), start, end)
+
+
 def per_text_sum(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(text, weights=values, minlength=n)
 

@@ -1,19 +1,21 @@
 """Toxicity: a linear-chain CRF tags toxic tokens; marginals give scores.
 
 Labels are per document, so token labels are derived first: from a bounded
-sample of labelled rows, words that occur in toxic far more than in clean
+sample of labelled rows, words and word beginnings that occur in toxic far more than in clean
 documents are chosen greedily.  A use between the same neighbours counts
 once, and a document that a chosen word explains counts half from then
-on; both keep out words that only travel along in copies.  In toxic documents the chosen
-words are labelled toxic, all else is clean.  The CRF of :mod:`.crf` is
-fitted on the sample's sentences and scores every whole text:
-a document's score is the highest probability, over its sentences, that
-the sentence holds a toxic token (1 - P(all clean), from the forward
-pass); tokens with a marginal of one half and more are reported as
-offending offsets (code points, end exclusive).
-
-Defined cases: a null or empty text, or one without a word, scores 0;
-copies score alike; without toxic training rows every score is 0; labels
+on; both keep out words that only travel along in copies.
+In toxic documents the chosen ones are labelled toxic, all else is clean.
+The CRF of :mod:`.crf` is fitted on the sample's sentences and tags every
+whole text.  A document's score is a logistic function, fitted on the
+sample, of the highest probability over its sentences that one holds a
+toxic token (1 - P(all clean)) and of the expected number of toxic tokens
+(sum of marginals).  Tokens with a marginal of one half and more are
+reported as offending offsets (code points, end exclusive).
+
+Defined cases: a null or empty text, or one without a word, has no toxic
+token and gets the score of that; copies score alike; without toxic
+training rows every score is 0; labels
 other than 0 and 1 and null labels are not learned from, a document with
 several labels counts as toxic if one is; an empty table gives an empty
 result; columns other than those named are not read.
@@ -27,12 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lookup import materialise
-from .bytestream import Chunk, CodeMap, chunks, mix, word_bounds, word_codes
+from .bytestream import Chunk, CodeMap, Tally, chunks, mix, run_codes, running_code, word_bounds
 from .columns import crc_mod, text_or_empty
 from .crf import Batch, Weights, any_toxic, fit, marginals
 
 SAMPLE = 8_000      # labelled documents per class that the fit may see, by hash order
-VOCABULARY = 2_000  # words with weights of their own
+VOCABULARY = 2_000  # words and beginnings to choose from
+BEGINNINGS = (8, 7, 6, 5, 4)  # bytes of word beginnings that may be learned
 DECAY = 0.5         # weight left to a toxic document per chosen word in it
 SUPPORT = 0.02      # share of the toxic documents a chosen word must explain
 THRESHOLD = 0.3
@@ -51,7 +54,8 @@ class Sentences:
 
     def __init__(self, c: Chunk):
         self.start, self.end, self.text = word_bounds(c, _GAP)
-        self.code = word_codes(c, self.start, self.end)
+        self.total = running_code(c)
+        self.code = run_codes(self.total, self.start, self.end)
         stops = np.cumsum(_STOP[c.data]) if len(c.data) else np.zeros(0, np.int64)
         mark = stops[self.start] if len(self.start) else stops
         new = np.ones(len(self.start), bool)
@@ -59,6 +63,22 @@ class Sentences:
         self.first = np.flatnonzero(new)
         self.size = np.diff(np.append(self.first, len(self.start)))
 
+    def beginnings(self):
+        """(words longer than ``k`` bytes, code of their first ``k``), longest first."""
+        for k in BEGINNINGS:
+            at = np.flatnonzero(self.end - self.start > k)
+            yield at, run_codes(self.total, self.start[at], self.start[at] + k) ^ np.uint64(k)
+
+    def indexed(self, index: CodeMap) -> np.ndarray:
+        """Vocabulary index of every word: its own, else that of its
+        longest known beginning, else 0."""
+        found = index.get(self.code)[0].astype(np.int64) if len(self.code) else np.zeros(0, np.int64)
+        for at, code in self.beginnings():
+            at, code = at[found[at] == 0], code[found[at] == 0]
+            if len(at):
+                found[at] = index.get(code)[0]
+        return found
+
 
 def sample_labels(labels: DataFrame, train: Column, size: int = SAMPLE) -> DataFrame:
     """(doc_id, toxic) of at most ``size`` training rows per class."""
@@ -69,40 +89,67 @@ def sample_labels(labels: DataFrame, train: Column, size: int = SAMPLE) -> DataF
     return materialise(parts[0].unionByName(parts[1]))
 
 
-def _word_documents(sample: DataFrame) -> tuple[np.ndarray, ...]:
-    """Words that occur in toxic sample documents far more than in clean ones.
-
-    Document counts are summed in Spark; only words found in three toxic
-    documents, and three times as often there, reach the driver.
-    """
-    def task(batches):
+def _features(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, code, code of the neighbours) of the first use of every word
+    and word beginning in every text."""
+    s = Sentences(c)
+    near = np.zeros((2, len(s.code)), np.uint64)
+    near[0, 1:], near[1, :-1] = s.code[:-1], s.code[1:]
+    near = mix(near[0] * np.uint64(3) + near[1])
+    parts = [(np.arange(len(s.code)), s.code), *s.beginnings()]
+    at, code = (np.concatenate(x) for x in zip(*parts))
+    text = s.text[at]
+    order = np.lexsort((at, code, text))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(code[order].view(np.int64)) != 0) | (np.diff(text[order]) != 0)
+    once = order[new]
+    return text[once], code[once], near[at[once]]
+
+
+def _strong_features(sample: DataFrame) -> tuple:
+    """Words and beginnings that occur in toxic sample documents far more
+    than in clean ones: (codes, clean counts, document and code of every
+    distinct use in toxic ones, clean and toxic documents)."""
+    def count(batches):
+        tallies = {0: Tally(), 1: Tally()}
         for batch in batches:
             toxic = batch.column(0).to_numpy()
-            ids = batch.column(1).to_numpy()
-            for c in chunks(batch.column(2)):
-                s = Sentences(c)
-                near = np.zeros((2, len(s.code)), np.uint64)
-                near[0, 1:], near[1, :-1] = s.code[:-1], s.code[1:]
-                once = np.lexsort((s.code, s.text))  # the first use of a word in each text
-                once = once[np.concatenate([[True], (np.diff(s.code[once].view(np.int64)) != 0)
-                                            | (np.diff(s.text[once]) != 0)])] if len(once) else once
-                row = s.text[once] + c.first
-                yield pa.record_batch({"doc": pa.array(ids[row]), "toxic": pa.array(toxic[row]),
-                                       "code": pa.array(s.code[once].view(np.int64)),
-                                       "near": pa.array(mix(near[0] * np.uint64(3) + near[1])[once].view(np.int64))})
-
-    words = sample.select("toxic", "doc_id", "text").mapInArrow(
-        task, "doc bigint, toxic int, code bigint, near bigint")
+            for c in chunks(batch.column(1)):
+                text, code, _ = _features(c)
+                of = toxic[text + c.first]
+                for k, t in tallies.items():
+                    full = t.add(code[of == k])
+                    if full is not None:
+                        yield rows(k, *full)
+        for k, t in tallies.items():
+            yield rows(k, *t.rest())
+
+    def rows(k, code, n):
+        return pa.record_batch({"code": pa.array(code.view(np.int64)), "toxic": pa.array(np.full(len(code), k, np.int32)),
+                                "n": pa.array(n.astype(np.int64))})
+
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
     n_clean, n_toxic = n.get(0, 0), n.get(1, 0)
-    least = max(3, int(SUPPORT / 4 * n_toxic))
-    counts = words.groupBy("code").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    counts = sample.select("toxic", "text").mapInArrow(count, "code bigint, toxic int, n bigint").groupBy("code").agg(
+        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"),
+        F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
     rate = F.col("t") / F.lit(max(1, n_toxic)) / ((F.col("c") + 1) / F.lit(n_clean + 1))
-    strong = materialise(counts.where((F.col("t") >= least) & (rate >= 3))
-                         .orderBy(F.desc("t"), "code").limit(VOCABULARY))
-    held = words.where(F.col("toxic") == 1).join(F.broadcast(strong.select("code")), "code") \
+    top = counts.where((F.col("t") >= max(3, int(SUPPORT / 4 * n_toxic))) & (rate >= 3)) \
+        .orderBy(F.desc(F.col("t") * F.log(rate)), "code").limit(VOCABULARY).toArrow()
+    strong = np.sort(top["code"].to_numpy().view(np.uint64))
+
+    def uses(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for c in chunks(batch.column(1)):
+                text, code, near = _features(c)
+                at = np.flatnonzero(np.isin(code, strong))
+                yield pa.record_batch({"doc": pa.array(ids[text[at] + c.first]), "code": pa.array(code[at].view(np.int64)),
+                                       "near": pa.array(near[at].view(np.int64))})
+
+    held = sample.where(F.col("toxic") == 1).select("doc_id", "text").mapInArrow(
+        uses, "doc bigint, code bigint, near bigint") \
         .groupBy("code", "near").agg(F.min("doc").alias("doc")).toArrow()  # at most SAMPLE x VOCABULARY rows
-    top = strong.toArrow()
     return (top["code"].to_numpy().view(np.uint64), top["c"].to_numpy(), held["doc"].to_numpy(),
             held["code"].to_numpy().view(np.uint64), n_clean, n_toxic)
 
@@ -120,7 +167,7 @@ def choose_words(codes, clean, doc, code, n_clean: int, n_toxic: int) -> np.ndar
     while True:
         support = np.bincount(of, weights=weight[doc], minlength=len(codes))
         lift = support / max(1, n_toxic) / ((clean + 1) / (n_clean + 1))
-        value = np.where(~chosen & (lift >= 5) & (support >= least), support, 0.0)
+        value = np.where(~chosen & (lift >= 5) & (support >= least), support * np.log(np.maximum(lift, 1)), 0.0)
         best = int(np.argmax(value))
         if value[best] <= 0:
             return chosen
@@ -137,7 +184,7 @@ def _sentence_rows(sample: DataFrame, codes: np.ndarray) -> tuple[list, list, li
             toxic = batch.column(0).to_numpy()
             for c in chunks(batch.column(1)):
                 s = Sentences(c)
-                token = index.get(s.code)[0].astype(np.int32) if len(s.code) else np.zeros(0, np.int32)
+                token = s.indexed(index).astype(np.int32)
                 at = pa.array(np.append(s.first, len(token)).astype(np.int32))
                 yield pa.record_batch({"tokens": pa.ListArray.from_arrays(at, pa.array(token)),
                                        "toxic": pa.array(toxic[s.text[s.first] + c.first])})
@@ -148,21 +195,27 @@ def _sentence_rows(sample: DataFrame, codes: np.ndarray) -> tuple[list, list, li
 
 
 class Model:
-    """Vocabulary codes with CRF weights; what tasks receive."""
+    """Vocabulary codes with CRF weights and the weights of the document
+    score; what tasks receive."""
 
-    def __init__(self, codes: np.ndarray, weights: Weights):
+    def __init__(self, codes: np.ndarray, weights: Weights, final=None):
         self.index = CodeMap(codes, np.arange(1, len(codes) + 1).astype(np.float64))
-        self.weights = weights
+        self.weights, self.final = weights, final
+
+    def score(self, peak: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        if self.final is None:
+            return np.zeros(len(peak))
+        return 1 / (1 + np.exp(-np.clip(evidence(peak, expected) @ self.final, -50, 50)))
 
     def tag(self, c: Chunk):
-        """(scores, spans per text) of a chunk.  Sentences without a
-        vocabulary word differ by length alone, so one of each length is
-        enough; they are tagged as such."""
+        """(highest sentence probability, expected toxic tokens, spans) per
+        text of a chunk.  Sentences without a vocabulary word differ by
+        length alone, so one of each length is enough."""
         s = Sentences(c)
-        score, spans = np.zeros(c.n), [[] for _ in range(c.n)]
+        score, expected, spans = np.zeros(c.n), np.zeros(c.n), [[] for _ in range(c.n)]
         if not len(s.code):
-            return score, spans
-        token = self.index.get(s.code)[0].astype(np.int64)
+            return score, expected, spans
+        token = s.indexed(self.index)
         hit = np.add.reduceat(token, s.first) > 0
         text = s.text[s.first]
         lengths, back = np.unique(s.size[~hit], return_inverse=True)
@@ -175,6 +228,7 @@ class Model:
             b = Batch(token[inside], s.size[hit])
             toxic, z, _ = marginals(b, self.weights)
             np.maximum.at(score, text[hit], any_toxic(b, self.weights, z))
+            expected += np.bincount(s.text[inside], weights=toxic, minlength=c.n)
             at = np.flatnonzero(inside)[toxic >= 0.5]
             if len(at):
                 point = np.concatenate([[0], np.cumsum((c.data & 0xC0) != 0x80)])
@@ -182,7 +236,22 @@ class Model:
                 for i, a, e in zip(s.text[at].tolist(), (point[s.start[at]] - zero).tolist(),
                                    (point[s.end[at]] - zero).tolist()):
                     spans[i].append(f"{a}:{e}")
-        return score, spans
+        return score, expected, spans
+
+
+def evidence(peak: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    p = np.clip(peak, 1e-4, 1 - 1e-4)
+    return np.stack([np.ones(len(p)), np.log(p / (1 - p)), np.log1p(expected), np.minimum(expected, 4.0)], axis=1)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 30, penalty: float = 1.0) -> np.ndarray:
+    """Weights of a logistic function by Newton steps."""
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w))
+        w = w + np.linalg.solve(h, x.T @ (weight * (y - p)) - penalty * w)
+    return w
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: Column, size: int = SAMPLE) -> Model:
@@ -190,41 +259,47 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, size: int = SA
     picked = sample_labels(labels, train_rows, size)  # at most 2 * size rows: a proven bound
     sample = materialise(docs.join(F.broadcast(picked), "doc_id").select(
         "doc_id", F.col("toxic").cast("int").alias("toxic"), text_or_empty(F.col("text")).alias("text")))
-    codes, clean, doc, code, n_clean, n_toxic = _word_documents(sample)
-    chosen = choose_words(codes, clean, doc, code, n_clean, n_toxic)
+    codes, clean, doc, code, n_clean, n_toxic = _strong_features(sample)
+    codes = codes[choose_words(codes, clean, doc, code, n_clean, n_toxic)]
     sentences, toxic, n = _sentence_rows(sample, codes)
     size_of = np.array([len(x) for x in sentences], np.int64)
     tokens = np.concatenate([np.asarray(x, np.int64) for x in sentences]) if sentences else np.zeros(0, np.int64)
-    marked = np.concatenate([[False], chosen])
-    labels_of = (marked[tokens] & np.repeat(np.asarray(toxic, np.int64) == 1, size_of)).astype(np.int64)
+    labels_of = ((tokens > 0) & np.repeat(np.asarray(toxic, np.int64) == 1, size_of)).astype(np.int64)
     if not labels_of.any():
         return Model(codes[:0], Weights(np.zeros((1, 3)), -50.0, np.zeros((2, 2))))
-    return Model(codes, fit(tokens, size_of, labels_of, np.asarray(n, np.float64), len(codes) + 1))
-
-
-def tag_toxic(docs: DataFrame, model: Model, keep: dict, text: str = "text") -> DataFrame:
-    """The columns ``keep`` (name -> Column) of every row with score and
-    spans (start:end of toxic tokens, comma-joined)."""
+    model = Model(codes, fit(tokens, size_of, labels_of, np.asarray(n, np.float64), len(codes) + 1))
+    seen = tagged(sample, model, {"toxic": F.col("toxic")}).select("toxic", "peak", "expected").toArrow()
+    y = seen["toxic"].to_numpy().astype(np.float64)
+    all_of = {r["toxic"]: r["n"] for r in labels.where(train_rows & F.col("toxic").isin(0, 1))
+              .groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
+    share = np.where(y == 1, all_of.get(1, 0) / max(1, y.sum()), all_of.get(0, 0) / max(1, (1 - y).sum()))
+    model.final = logistic(evidence(seen["peak"].to_numpy(), seen["expected"].to_numpy()), y, share / share.max())
+    return model
+
+
+def tagged(docs: DataFrame, model: Model, keep: dict, text: str = "text") -> DataFrame:
+    """The columns ``keep`` (name -> Column) of every row with score, peak,
+    expected and spans (start:end of toxic tokens, comma-joined)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches):
         model = shared.value
         for batch in batches:
             parts = [model.tag(c) for c in chunks(batch.column("__text"))]
-            score = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0)
-            spans = [",".join(x) for p in parts for x in p[1]]
+            peak, expected = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in (0, 1))
+            spans = [",".join(x) for p in parts for x in p[2]]
             kept = {k: batch.column(k) for k in batch.schema.names if k != "__text"}
-            yield pa.record_batch({**kept, "score": pa.array(np.clip(score, 0.0, 1.0)),
-                                   "spans": pa.array(spans, pa.string())})
+            yield pa.record_batch({**kept, "score": pa.array(model.score(peak, expected)), "peak": pa.array(peak),
+                                   "expected": pa.array(expected), "spans": pa.array(spans, pa.string())})
 
     asked = docs.select(*[c.alias(k) for k, c in keep.items()], text_or_empty(F.col(text)).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema.fields[:-1])
-    return asked.mapInArrow(task, f"{schema}, score double, spans string")
+    return asked.mapInArrow(task, f"{schema}, score double, peak double, expected double, spans string")
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Contract columns of query ``op3`` and the offending spans."""
     held = crc_mod(F.col("doc_id"), 4) == 2
     model = train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), ~held)
-    return tag_toxic(docs, model, {"doc_id": F.col("doc_id"), "held_out": held}) \
+    return tagged(docs, model, {"doc_id": F.col("doc_id"), "held_out": held}) \
         .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
