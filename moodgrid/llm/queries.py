@@ -12,6 +12,7 @@ from .decontaminate import find_leaks
 from .langmix import language_report
 from .lm import lm_report
 from .packing import pack
+from .pii import HOLDER, replace_personal_data
 from .quality import quality_report
 from .registry import ORACLES, QUERIES, register, table
 from .secrets import secret_report
@@ -38,6 +39,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@register("op4_surrogates")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = replace_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", f"{HOLDER}.n_entities", f"{HOLDER}.entities")
+
+
 @register("op5_simhash_leaks")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
