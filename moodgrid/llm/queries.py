@@ -17,6 +17,7 @@ from .quality import quality_report
 from .registry import ORACLES, QUERIES, register, table
 from .secrets import secret_report
 from .toxicity import toxicity_report
+from .warc import derive
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -60,6 +61,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"), run_folder(spark, "ledger"))
 
 
+@register("op9_warc_derivatives")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(table(spark, sf_dir, "pages"))
+
+
 @register("op10_language_mixture")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
