@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_checkpoint_dir
 from . import oracles
 from .decontaminate import find_leaks
+from .jaccard import jaccard_components
 from .langmix import language_report
 from .lm import lm_report
 from .packing import pack
@@ -61,6 +62,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"), run_folder(spark, "ledger"))
 
 
+@register("op8_jaccard_components")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @register("op9_warc_derivatives")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(table(spark, sf_dir, "pages"))
