@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import text as T
 from .ingest import label_flag, strip
+from .lookup import materialise, sized_lookup
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | local index
 
@@ -25,20 +26,23 @@ _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | local index
 def with_row_index(df: DataFrame, order_col: str, index_col: str = "idx") -> DataFrame:
     """0-based position of each row in ``order_col`` order.
 
-    Rows are range-partitioned and sorted on the key, so
-    ``monotonically_increasing_id`` holds (partition, local position);
-    per-partition row counts (one tiny row per partition) give each
-    partition's offset.  No window over the whole table, no collect."""
+    Rows are range-partitioned and sorted on the key and tagged with
+    (partition, local position).  The tagged frame is checkpointed once:
+    range bounds come from a sample, so counting one evaluation and
+    numbering another could disagree.  Per-partition counts (one tiny row
+    per partition) of that frame give each partition's offset.  No window
+    over the whole table, no collect."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = df.repartitionByRange(n, order_col).sortWithinPartitions(order_col) \
         .withColumn("_m", F.monotonically_increasing_id())
-    d = d.withColumn("_p", F.shiftrightunsigned("_m", _LOCAL_BITS)) \
-        .withColumn("_l", F.col("_m").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+    d = materialise(d.withColumn("_p", F.shiftrightunsigned("_m", _LOCAL_BITS))
+                    .withColumn("_l", F.col("_m").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))).drop("_m"))
     counts = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     offs = counts.select("_p", F.coalesce(F.sum("_c").over(
         Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    # at most one row per partition of the range exchange: a proven bound
     return d.join(F.broadcast(offs), "_p").withColumn(index_col, F.col("_o") + F.col("_l")) \
-        .drop("_m", "_p", "_l", "_o")
+        .drop("_p", "_l", "_o")
 
 
 def batch_assign(df: DataFrame, order_col: str, batch_size: int = C.BATCH_SIZE) -> DataFrame:
@@ -58,6 +62,17 @@ def write_batches(df: DataFrame, path: str, order_col: str, batch_size: int = C.
 # S14 column projection, S16 entity rewrite
 # --------------------------------------------------------------------------
 
+def read_cluster_labels(spark: SparkSession, path: str, posts: DataFrame) -> DataFrame:
+    """Saved (post_id, cluster) labels read back and joined to their
+    posts by key, so the order of either side does not matter."""
+    return posts.join(spark.read.parquet(path).select("post_id", "cluster"), "post_id")
+
+
+def write_cluster_labels(labels: DataFrame, path: str) -> None:
+    """S17 sink: (post_id, cluster), one new folder per labelling."""
+    labels.select("post_id", "cluster").write.mode("errorifexists").parquet(path)
+
+
 def project_columns(lines: DataFrame, columns: list[int], delim: str, only_if: int = -1,
                     line_col: str = "line") -> DataFrame:
     """S14 (+P6): split each line on ``delim``; with ``only_if >= 0`` keep
@@ -105,8 +120,12 @@ def read_word_cluster_dir(spark: SparkSession, path: str) -> DataFrame:
     """One file per cluster, one word per line -> (cluster, word);
     cluster = file name without extension."""
     df = spark.read.text(path)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1)
-    return df.select(name.alias("cluster"), F.trim("value").alias("word"))
+    return df.select(cluster_name(F.input_file_name()).alias("cluster"), F.trim("value").alias("word"))
+
+
+def cluster_name(file: Column) -> Column:
+    """File name without folders and extension."""
+    return F.regexp_extract(file, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
 def read_cluster_sentiment(spark: SparkSession, path: str) -> DataFrame:
@@ -143,7 +162,7 @@ def read_wordnet_lemmas(spark: SparkSession, path: str, lemma: DataFrame | None
     pos = F.explode(F.array(*[F.lit(p) for p in (C.WN_NOUN, C.WN_VERB, C.WN_ADJ, C.WN_ADV)])).alias("pos")
     w = w.select("form", pos)
     if lemma is not None:
-        w = w.join(F.broadcast(lemma), ["form", "pos"], "left") \
+        w = w.join(sized_lookup(lemma), ["form", "pos"], "left") \
             .select(F.coalesce("lemma", "form").alias("word"))
     else:
         w = w.select(F.col("form").alias("word"))
@@ -190,7 +209,7 @@ def ranked_related_words(responses: DataFrame, top_n: int = 100,
     m = m.select("keyword", "pos", "match", F.explode(pos_order).alias("x")) \
         .select("keyword", "pos", "match", F.col("x.o").alias("o"), F.col("x.p").alias("p"))
     if lemma is not None:
-        m = m.join(F.broadcast(lemma.withColumnRenamed("form", "match").withColumnRenamed("pos", "p")),
+        m = m.join(sized_lookup(lemma.withColumnRenamed("form", "match").withColumnRenamed("pos", "p")),
                    ["match", "p"], "left").withColumn("word", F.lower(F.coalesce("lemma", "match")))
     else:
         m = m.withColumn("word", F.lower("match"))

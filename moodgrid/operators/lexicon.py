@@ -58,10 +58,11 @@ def pair_terms(lex: DataFrame) -> DataFrame:
     return p.withColumn("blk", blk)
 
 
-# Enumeration key of a hit as one long: block, then first position, then
-# second position (positions below 2**21 tokens per post).  A numeric key
-# keeps the per-post arg-max in a fixed-width hash-aggregation buffer.
-_POS_BITS = 21
+# Enumeration key of a hit as one long: block (below 8), then first
+# position, then second position.  30 bits hold any position: a string has
+# less than 2**31 bytes and a token takes two of them.  A numeric key keeps
+# the per-post arg-max in a fixed-width hash-aggregation buffer.
+_POS_BITS = 30
 
 
 def _key(b, i, j) -> Column:

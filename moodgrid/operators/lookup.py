@@ -4,8 +4,8 @@ Word lists, lexicons and cluster tables are joined against every token
 of every post.  Broadcasting them avoids shuffling the token stream, but
 only a table whose size is *known* may be broadcast: the table is first
 materialised as a reliable checkpoint in the shared checkpoint folder
-(``spark.checkpoint.dir``), its rows are counted, and only under the row
-bound is the broadcast hint applied.  Beyond the bound the plain
+(``spark.checkpoint.dir``), its rows and the bytes of their values are
+summed, and only under both bounds is the broadcast hint applied.  Beyond the bound the plain
 DataFrame is returned and Spark plans a sort-merge join (AQE splits
 skewed key partitions, so a hot token does not stall one task).
 """
@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 DEFAULT_MAX_ROWS = 2_000_000
+DEFAULT_MAX_BYTES = 256 << 20
+ROW_OVERHEAD = 32
+BYTES_KEY = "moodgrid.broadcast.maxBytes"
 CONF_KEY = "moodgrid.broadcast.maxRows"
 
 
@@ -34,12 +37,31 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def max_bytes(df: DataFrame) -> int:
+    v = df.sparkSession.conf.get(BYTES_KEY, None)
+    return int(v) if v else DEFAULT_MAX_BYTES
+
+
+def _value_bytes(df: DataFrame):
+    """Approximate bytes of one row: fixed types by their width, all other
+    values by the length of their text form."""
+    fixed = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8,
+             "date": 4, "timestamp": 8}
+    total = F.lit(ROW_OVERHEAD).cast("long")
+    for name, kind in df.dtypes:
+        col = df[name]
+        total = total + (F.lit(fixed[kind]) if kind in fixed else
+                         F.coalesce(F.octet_length(col if kind == "string" else F.to_json(F.struct(col))), F.lit(0)))
+    return total
+
+
 def sized_lookup(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Materialise ``df`` and broadcast it only if it has ``<= limit`` rows."""
+    """Materialise ``df`` and broadcast it only if it has ``<= limit`` rows
+    and its values fit the byte bound."""
     m = materialise(df)
-    n = m.count()
+    r = m.select(F.count(F.lit(1)).alias("n"), F.sum(_value_bytes(m)).alias("b")).first()
     lim = max_rows(df) if limit is None else limit
-    return F.broadcast(m) if n <= lim else m
+    return F.broadcast(m) if r["n"] <= lim and (r["b"] or 0) <= max_bytes(df) else m
 
 
 def constant_table(spark, rows, schema: str) -> DataFrame:

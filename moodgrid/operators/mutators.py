@@ -20,6 +20,9 @@ INF = float("inf")
 # Per-cluster mean scores are sums in engine-dependent order; they are
 # rounded to this many digits before the arg-max so that ties are ties.
 TIE_DIGITS = 12
+# Cluster words of one length are dealt over this many rows, so that no row
+# grows with a cluster.
+WORD_SHARDS = 16
 
 
 # --------------------------------------------------------------------------
@@ -73,39 +76,29 @@ def afinn_score(posts: DataFrame, afinn: DataFrame, text_col: str = "text",
 # J5 / U8 edit-distance cluster score
 # --------------------------------------------------------------------------
 
-def cluster_word_arrays(word_clusters: DataFrame) -> DataFrame:
-    """One row: array of (cluster, words[]) — the bounded constant every
-    vocabulary word is compared with."""
-    per = word_clusters.groupBy("cluster").agg(F.sort_array(F.collect_list("word")).alias("words"))
-    return per.agg(F.sort_array(F.collect_list(F.struct("cluster", "words"))).alias("cw"))
-
-
-def edit_cluster_scores(posts: DataFrame, word_clusters: DataFrame,
-                        text_col: str = "text", max_words: int = 100_000) -> DataFrame:
+def edit_cluster_scores(posts: DataFrame, word_clusters: DataFrame, text_col: str = "text") -> DataFrame:
     """(post_id, cluster, score) = mean over the post's tokens of the
     best edit similarity (T8) to any word of the cluster.
 
-    The similarity is computed once per *distinct* lower-cased token (R2)
-    against the cluster word list — materialised, size-checked and inlined
-    as a scalar subquery — then joined back to the token occurrences."""
-    wc = materialise(word_clusters.select("cluster", "word"))
-    n_words = wc.count()
-    if n_words > max_words:
-        raise ValueError(f"word clusters too large to inline: {n_words} > {max_words}")
-    cw = cluster_word_arrays(wc).scalar()
+    The similarity is computed once per *distinct* lower-cased token (R2).
+    Cluster words are gathered in rows by (cluster, length, shard); every
+    token visits every word length (a short array) and meets the words of
+    that length by an equi-join, whatever their number; the best
+    similarity of a row comes from in-row arithmetic."""
+    wc = materialise(word_clusters.select("cluster", F.col("word").alias("w")).distinct())
+    shard = F.pmod(F.xxhash64("w"), F.lit(WORD_SHARDS))
+    by_len = sized_lookup(wc.groupBy("cluster", F.length("w").alias("wl"), shard.alias("shard"))
+                          .agg(F.collect_list("w").alias("words")))
+    word_lengths = wc.agg(F.sort_array(F.collect_set(F.length("w")))).scalar()
     occ = posts.select("post_id", F.explode(T.tokens(text_col)).alias("tok")) \
         .select("post_id", F.lower("tok").alias("tok"))
-    vocab = spread(occ.select("tok").distinct(), "tok")
-    # each distinct token meets every word of the bounded cluster list: the
-    # fuzzy best match has no index, so this nested loop is the operator.
-    # Rows of one token are generated together and the vocabulary is
-    # partitioned by token, so the max needs no further exchange.
-    pairs = vocab.select("tok", F.explode(cw).alias("c")) \
-        .select("tok", F.col("c.cluster").alias("cluster"), F.explode("c.words").alias("w"))
+    vocab = spread(occ.select("tok").distinct(), "tok").select("tok", F.explode(word_lengths).alias("wl"))
+    pairs = vocab.join(by_len, "wl").select(
+        "tok", "cluster", F.array_max(F.transform("words", lambda w: T.edit_similarity(F.col("tok"), w))).alias("sim"))
     # the per-token table is computed once and probed by every occurrence
     # (broadcast while its size allows, so occurrences keep their post
     # partitioning for the per-post sums)
-    best = sized_lookup(pairs.groupBy("tok", "cluster").agg(F.max(T.edit_similarity("tok", "w")).alias("sim")))
+    best = sized_lookup(pairs.groupBy("tok", "cluster").agg(F.max("sim").alias("sim")))
     # every token has a row per cluster, so the row count per (post,
     # cluster) is the post's token count
     agg = occ.join(best, "tok").groupBy("post_id", "cluster").agg(
@@ -129,7 +122,7 @@ def edit_cluster_score(posts: DataFrame, word_clusters: DataFrame, sentiment: Da
     """U8: (post_id, score): the winning cluster's mean similarity, negated
     for a negative cluster, 0 for a neutral winner or no winner."""
     best = pick_best_cluster(edit_cluster_scores(posts, word_clusters, text_col))
-    sent = F.broadcast(sentiment.select("cluster", "sentiment"))
+    sent = sized_lookup(sentiment.select("cluster", "sentiment"))
     return best.join(sent, "cluster", "left").select(
         "post_id",
         F.when(F.col("sentiment") == "positive", F.col("score"))
@@ -160,19 +153,21 @@ def lemmatised_words(posts: DataFrame, lemma: DataFrame, wordlist: DataFrame) ->
     return dedup.join(wordlist.select("word"), "word", "left_semi")
 
 
-def wordnet_pairs(posts: DataFrame, lemma: DataFrame, wordlist: DataFrame,
-                  word_clusters: DataFrame) -> DataFrame:
-    """(post_id, cluster, pair) with pair = ``word#pos cword#pos`` for
-    every kept post word and every word of every cluster.  The cluster
-    side is a bounded lookup joined on the constant key of the cluster
-    table (all clusters apply to every word)."""
-    words = lemmatised_words(posts, lemma, wordlist)
-    cw = cluster_word_arrays(word_clusters).scalar()
-    return words.select("post_id", "word", "pos", F.explode(cw).alias("c")) \
-        .select("post_id", "word", "pos", F.col("c.cluster").alias("cluster"),
-                F.explode("c.words").alias("cword")) \
-        .select("post_id", "cluster",
-                F.concat("word", F.lit("#"), "pos", F.lit(" "), "cword", F.lit("#"), "pos").alias("pair"))
+def wordnet_pair_counts(posts: DataFrame, lemma: DataFrame, wordlist: DataFrame,
+                        word_clusters: DataFrame) -> DataFrame:
+    """(post_id, cluster, n_words, n_pairs): how many (post word,
+    cluster word) pairs each post forms with each cluster.
+
+    The pairs themselves are never listed: a post's pairs with a cluster
+    are its kept words times the cluster's words, so two counts give them.
+    (Scores need only pairs of the similarity table; U9 forms those by an
+    equi-join on the post word.)"""
+    words = lemmatised_words(posts, lemma, wordlist).groupBy("post_id").agg(F.count(F.lit(1)).alias("n_words"))
+    sizes = word_clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    # a scalar of one entry per cluster: a post meets clusters, not words
+    per = sizes.agg(F.collect_list(F.struct("cluster", "n"))).scalar()
+    return words.select("post_id", "n_words", F.explode(per).alias("c")).select(
+        "post_id", F.col("c.cluster").alias("cluster"), "n_words", (F.col("n_words") * F.col("c.n")).alias("n_pairs"))
 
 
 def similarity_cluster_scores(posts: DataFrame, lemma: DataFrame, wordlist: DataFrame,
@@ -198,7 +193,7 @@ def similarity_diff(scores: DataFrame, sentiment: DataFrame, posts: DataFrame) -
     """(post_id, score): winner's score minus the scores of every
     cluster whose sentiment differs from the winner's; sign by the
     winner's sentiment, neutral -> 0; posts without pairs -> 0."""
-    s = scores.join(F.broadcast(sentiment.select("cluster", "sentiment")), "cluster", "left")
+    s = scores.join(sized_lookup(sentiment.select("cluster", "sentiment")), "cluster", "left")
     key = F.struct((-F.col("score")).alias("k"), F.col("cluster").alias("c"))
     per = s.groupBy("post_id").agg(
         F.min_by(F.struct("score", "sentiment"), key).alias("w"),
@@ -253,7 +248,3 @@ def apply_filters(candidates: DataFrame, filters: list[tuple[DataFrame, DataFram
 def _scores_by_label(scores: DataFrame) -> DataFrame:
     labels = F.array(*[F.lit(x) for x in (C.POS, C.NEG, C.NEU)])
     return scores.select("post_id", "score", F.explode(labels).alias("label"))
-
-
-def lookup_afinn(afinn: DataFrame) -> DataFrame:
-    return sized_lookup(afinn.select("word", "weight"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import text as T
 from ..operators import etl as E
 from ..operators import mutators as M
 from ..operators.lookup import sized_lookup
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as X
 from ..sources.fixtures_sql import sql_with
 from ..sources.tables import table
@@ -143,3 +146,128 @@ def s4_split_loader(spark, sf_dir):
     from ..operators import ingest as I
     s = I.labelled_scan(X.raw_lines(spark, sf_dir), MASK_PNE).withColumn("split", _split_col())
     return s.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_posts"))
+
+
+# ---------------------------------------------------------------------------
+# file scans and sinks: written to a folder of the run, read back
+# ---------------------------------------------------------------------------
+
+def _folder(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register("s15_batch_sizes", sql_with(f"""
+SELECT batch, count(*) AS n_lines, sum(length(text)) AS n_chars
+FROM (SELECT text, (row_number() OVER (ORDER BY post_id) - 1) // {BATCH} AS batch FROM raw_posts) GROUP BY batch""",
+    "raw_posts"))
+def s15_batch_sizes(spark, sf_dir):
+    """The batch writer's folders, read back."""
+    path = _folder(spark, "batches")
+    E.write_batches(X.raw_posts(spark, sf_dir).select("post_id", F.col("text").alias("line")), path, "post_id", BATCH)
+    return spark.read.text(path).groupBy(F.col("batch").cast("long").alias("batch")).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("value")).alias("n_chars"))
+
+
+@register("s6_lexicon_files", sql_with("""
+SELECT lexicon, kind, count(*) AS n_terms, round(sum(score), 3) AS score, sum(n_pos) AS n_pos, sum(n_neg) AS n_neg
+FROM lexicon WHERE lexicon = 'nrc' GROUP BY lexicon, kind""", "lexicon"))
+def s6_lexicon_files(spark, sf_dir):
+    """Gzipped TSV files of one lexicon, one folder name per kind."""
+    path = _folder(spark, "lexicon")
+    lex = X.lexicon(spark, sf_dir).where(F.col("lexicon") == "nrc")
+    name = F.concat(F.when(F.col("kind") == "uni", "unigrams").when(F.col("kind") == "bi", "bigrams").otherwise("pairs"),
+                    F.lit("-pmilexicon"))
+    line = F.concat_ws("\t", "term", F.col("score").cast("string"), F.col("n_pos").cast("string"),
+                       F.col("n_neg").cast("string"))
+    lex.select(name.alias("file"), line.alias("value")).write.partitionBy("file") \
+        .option("compression", "gzip").text(path)
+    read = E.read_lexicon_dir(spark, f"{path}/*", "nrc")
+    return read.groupBy("lexicon", "kind").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("score"), 3).alias("score"),
+        F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
+
+
+@register("s7_word_weight_file", sql_with("SELECT word, weight FROM afinn", "afinn"))
+def s7_word_weight_file(spark, sf_dir):
+    path = _folder(spark, "weights")
+    E.write_tsv(X.afinn(spark, sf_dir).select(F.upper("word").alias("word"), F.col("weight").cast("string").alias("w")),
+                path, ["word", "w"])
+    return E.read_word_weights(spark, path)
+
+
+@register("s8_word_cluster_files", sql_with("SELECT cluster, word FROM word_clusters", "word_clusters"))
+def s8_word_cluster_files(spark, sf_dir):
+    """One file per cluster; the cluster is the file's name."""
+    path = _folder(spark, "clusters")
+    wc = X.word_clusters(spark, sf_dir)
+    for name, _ in X.CLUSTER_SENTIMENT:  # a fixed, short list of clusters
+        wc.where(F.col("cluster") == name).select("word").coalesce(1).write.text(f"{path}/{name}.d")
+    parts = [spark.read.text(f"{path}/{name}.d").select(F.lit(f"{name}.txt").alias("file"), F.trim("value").alias("word"))
+             for name, _ in X.CLUSTER_SENTIMENT]
+    from functools import reduce
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    return rows.select(E.cluster_name(F.col("file")).alias("cluster"), "word")
+
+
+@register("s9_cluster_sentiment_file", sql_with("SELECT cluster, sentiment FROM cluster_sentiment", "cluster_sentiment"))
+def s9_cluster_sentiment_file(spark, sf_dir):
+    path = _folder(spark, "sentiment")
+    X.cluster_sentiment(spark).select(F.concat_ws(" ", "cluster", "sentiment").alias("value")).write.text(path)
+    return E.read_cluster_sentiment(spark, path)
+
+
+@register("s11_s17_cluster_labels", """
+SELECT label AS cluster, count(*) AS n_posts, sum(vec_id) AS ids FROM embeddings GROUP BY label""")
+def s11_s17_cluster_labels(spark, sf_dir):
+    """S17 sink and S11 scan: labels saved by key, read back and joined."""
+    path = _folder(spark, "labels")
+    e = table(spark, sf_dir, "embeddings")
+    E.write_cluster_labels(e.select(F.col("vec_id").alias("post_id"), F.col("label").alias("cluster")), path)
+    back = E.read_cluster_labels(spark, path, e.select(F.col("vec_id").alias("post_id")))
+    return back.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_posts"), F.sum("post_id").alias("ids"))
+
+
+@register("s12_wordnet_lemma_file", sql_with("""
+SELECT DISTINCT coalesce(l.lemma, a.word) AS word
+FROM afinn a CROSS JOIN (VALUES ('n'), ('v'), ('a'), ('r')) AS p(pos)
+LEFT JOIN lemma l ON l.form = a.word AND l.pos = p.pos""", "afinn", "lemma"))
+def s12_wordnet_lemma_file(spark, sf_dir):
+    path = _folder(spark, "wordnet")
+    words = X.afinn(spark, sf_dir).select("word")
+    words.select(F.concat(F.lit("00001740 03 n 01 "), F.upper("word"), F.lit(" 0 001 @")).alias("value")) \
+        .union(words.limit(1).select(F.lit("  1 a licence line").alias("value"))).write.text(path)
+    return E.read_wordnet_lemmas(spark, path, X.lemma(spark, sf_dir))
+
+
+@register("s13_word_set_file", sql_with("SELECT word FROM afinn", "afinn"))
+def s13_word_set_file(spark, sf_dir):
+    path = _folder(spark, "words")
+    w = X.afinn(spark, sf_dir).select("word")
+    w.union(w).write.text(path)  # a set: repeated lines count once
+    return E.read_word_set(spark, path)
+
+
+@register("s16_entity_rewrite", sql_with("""
+SELECT post_id, length(text) AS n_chars FROM clean_posts""", "clean_posts"))
+def s16_entity_rewrite(spark, sf_dir):
+    """A copy with entities decoded, read back: encoding first and
+    decoding by the rewrite gives the text again."""
+    src, dst = _folder(spark, "encoded"), _folder(spark, "decoded")
+    p = X.clean_posts(spark, sf_dir).select("post_id", "text")
+    coded = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                      F.lit(">"), F.lit("&gt;"))
+    p.select(F.concat_ws("\t", F.col("post_id").cast("string"), coded).alias("value")).write.text(src)
+    E.rewrite_html(spark, src, dst)
+    f = F.split("value", "\t", 2)
+    return spark.read.text(dst).select(F.get(f, 0).cast("long").alias("post_id"),
+                                       F.length(F.get(f, 1)).cast("long").alias("n_chars"))
+
+
+@register("s19_similarity_output", sql_with("""
+SELECT word_a, pos, word_b, scheme, score FROM similarity""", "similarity"))
+def s19_similarity_output(spark, sf_dir):
+    path = _folder(spark, "similarity")
+    s = X.similarity(spark, sf_dir)
+    s.select(F.concat(F.col("word_a"), F.lit("#"), "pos", F.lit(" "), "word_b", F.lit("#"), "pos", F.lit(" "),
+                      F.col("score").cast("string")).alias("value")).write.text(path)
+    return E.read_similarity_output(spark, path, "path")

@@ -154,11 +154,11 @@ def _kw_inputs(spark, sf_dir):
 
 @register("j4_wordnet_pairs", sql_with(f"""
 , {WORDS}
-SELECT k.post_id, c.cluster, k.word || '#' || k.pos || ' ' || c.word || '#' || k.pos AS pair
-FROM _kw k, word_clusters c""", "clean_posts", "lemma", "afinn", "word_clusters"))
+SELECT k.post_id, c.cluster, count(DISTINCT k.word) AS n_words, count(*) AS n_pairs
+FROM _kw k, word_clusters c GROUP BY k.post_id, c.cluster""", "clean_posts", "lemma", "afinn", "word_clusters"))
 def j4_wordnet_pairs(spark, sf_dir):
     p, lem, words = _kw_inputs(spark, sf_dir)
-    return M.wordnet_pairs(p, lem, words, X.word_clusters(spark, sf_dir))
+    return M.wordnet_pair_counts(p, lem, words, X.word_clusters(spark, sf_dir))
 
 
 @register("u9_similarity_cluster_scores", sql_with(f", {U9}\nSELECT post_id, cluster, round(score, 6) AS score FROM _u9",

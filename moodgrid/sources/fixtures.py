@@ -7,9 +7,8 @@ has a SQL twin in :mod:`moodgrid.sources.fixtures_sql`.
 
 Scale notes
 -----------
-* ``posts`` never shuffles text: the token rewrite is an in-row
-  ``transform``; only the label join moves rows (AQE broadcasts the
-  labels side when its measured size is small, else sort-merge).
+* ``raw_posts`` moves each document once, to partitions by post id; the
+  token rewrite, the label join and all per-post work stay there.
 * document frequencies use ``array_distinct`` per row and a partial
   (map-side) ``count`` per term, so a term present in a third of all
   posts is combined before the shuffle.
@@ -79,8 +78,9 @@ def post_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C1 without labels: (post_id, lang, text, tags).  Narrow: no shuffle."""
-    docs = table(spark, sf_dir, "documents")
+    """C1 without labels: (post_id, lang, text, tags).  The documents move
+    once, to partitions by post id; every later step by post stays there."""
+    docs = table(spark, sf_dir, "documents", by_key=True)
     toks = T.tokens(T.one_line(F.col("text")))
     rewritten = F.transform(toks, lambda w, j: _inject(w, F.col("doc_id") + j + 1))
     return (docs
@@ -279,13 +279,15 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return allw.groupBy(F.col("cluster").alias("keyword")).agg(body.alias("body"))
 
 
-def auto_cluster_index(spark: SparkSession, sf_dir: str, k: int = C.KMEANS_K) -> DataFrame:
-    """S10 fixture: (cluster, sentiment, size) for clusters 0..k-1 of the
-    embedding labels; sentiment cycles positive, negative, neutral and an
+def auto_cluster_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S10 fixture: (cluster, sentiment, size) of all embedding labels; sentiment cycles positive, negative, neutral and an
     invalid name (exercises J10 / J11)."""
-    e = table(spark, sf_dir, "embeddings").where(F.col("label") < k)
+    e = table(spark, sf_dir, "embeddings")
     names = F.array(*[F.lit(x) for x in AUTO_SENTIMENTS])
     g = e.groupBy(F.col("label").alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
+    # one id that no embedding has, so that J11 finds a mismatch
+    extra = g.agg((F.max("cluster") + 1).cast(g.schema["cluster"].dataType).alias("cluster"), F.lit(1).cast("long").alias("size"))
+    g = g.unionByName(extra)
     return g.select("cluster", F.element_at(names, (F.col("cluster") % 4 + 1).cast("int")).alias("sentiment"),
                     "size")
 

@@ -140,9 +140,10 @@ FROM (SELECT cluster, CAST(rk AS DOUBLE) AS rk, word FROM _rk
 GROUP BY cluster""", ["_rk"]),
     "_rk": ("""SELECT cluster, word, row_number() OVER (PARTITION BY cluster ORDER BY word) AS rk
 FROM word_clusters""", ["word_clusters"]),
-    "auto_cluster_index": ("""SELECT label AS cluster,
-  ['positive', 'negative', 'neutral', 'unknown'][label % 4 + 1] AS sentiment, count(*) AS size
-FROM embeddings WHERE label < 8 GROUP BY label""", []),
+    "auto_cluster_index": ("""SELECT cluster,
+  ['positive', 'negative', 'neutral', 'unknown'][cluster % 4 + 1] AS sentiment, size
+FROM (SELECT label AS cluster, count(*) AS size FROM embeddings GROUP BY label
+      UNION ALL SELECT max(label) + 1, 1 FROM embeddings)""", []),
 }
 
 

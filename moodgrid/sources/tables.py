@@ -25,47 +25,17 @@ KEYS = {"documents": "doc_id", "labels": "doc_id", "pages": "page_id",
         "conversations": "conv_id", "embeddings": "vec_id", "benchmark": "item_id"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, by_key: bool = False) -> DataFrame:
     """Scan one table.
 
-    A large table arrives in many file splits and is used as is.  A table
-    whose scan yields fewer splits than the cluster has cores (a single
-    small parquet file is one split) is hash-partitioned on its key into
-    ``spark.sql.shuffle.partitions`` parts: the CPU-heavy per-row text
-    work then uses every core, and joins / aggregations on the key reuse
-    that partitioning.  (At scale the same effect comes from tables
-    bucketed on the key.)
+    ``by_key`` hash-partitions it on its key, at every size: for inputs of
+    per-key aggregations and key joins, the rows then move once, before
+    anything is exploded, and all later steps on the key reuse that
+    partitioning.  (A table bucketed on the key would need no exchange.)
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    df = spark.read.parquet(path)
-    key = KEYS.get(name)
-    if spread and key and _is_small(spark, path):
-        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    if by_key:
+        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), KEYS[name])
     return df
-
-
-def input_bytes(spark: SparkSession, path: str) -> int:
-    """Total size of a table's files (file-system metadata, no data read)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(p).getLength())
-
-
-def _is_small(spark: SparkSession, path: str) -> bool:
-    """Fewer bytes than one full split per core: the scan cannot keep the
-    cores busy (a small parquet file is often a single row group, read by
-    one task whatever the split size)."""
-    split = parse_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    return input_bytes(spark, path) < split * spark.sparkContext.defaultParallelism
-
-
-def parse_bytes(v: str) -> int:
-    """'134217728', '134217728b', '128m', '128MB', '1g' -> bytes."""
-    t = str(v).strip().lower().rstrip("b")
-    mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    if t and t[-1] in mult:
-        return int(float(t[:-1]) * mult[t[-1]])
-    return int(t)
