@@ -7,11 +7,12 @@ all rows never gathers in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
+from .lookup import materialise
 
 LABELS3 = (C.POS, C.NEG, C.NEU)
 
@@ -178,6 +179,29 @@ def threshold_sweep(scored: DataFrame, truth: str = "label", score: str = "score
 # A5 mutator profile
 # --------------------------------------------------------------------------
 
+def weighted_median(freq: DataFrame, group: str, value: str, count: str) -> DataFrame:
+    """(group, median) of a (group, value, count) table, the mean of the
+    two middle values for an even total.
+
+    Values are range-partitioned and summed inside their partition;
+    partition totals (one row per group and partition) shift the running
+    counts, so no task holds a group."""
+    n = int(freq.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = materialise(freq.select(group, F.col(value).alias("_v"), F.col(count).alias("_n"))
+                    .repartitionByRange(n, group, "_v").withColumn("_p", F.spark_partition_id()))
+    totals = d.groupBy(group, "_p").agg(F.sum("_n").alias("_t"))
+    before = Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offset = totals.select(group, "_p", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
+    size = totals.groupBy(group).agg(F.sum("_t").alias("_size"))
+    upto = Window.partitionBy(group, "_p").orderBy("_v")
+    run = d.withColumn("_hi", F.sum("_n").over(upto)).join(offset, [group, "_p"]).join(size, group) \
+        .withColumn("_hi", F.col("_hi") + F.col("_o")).withColumn("_lo", F.col("_hi") - F.col("_n"))
+    at = lambda pos: (F.col("_lo") <= pos) & (F.col("_hi") > pos)
+    low, high = F.floor((F.col("_size") - 1) / 2), F.floor(F.col("_size") / 2)
+    mid = run.where(at(low) | at(high)).groupBy(group).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+    return mid.select(group, (F.col("_a") + (F.col("_b") - F.col("_a")) * 0.5).alias("median"))
+
+
 def mutator_profile(deltas: DataFrame, n_rows: Column, buckets: int = C.PROFILE_BUCKETS):
     """A5: deltas (post_id, label, delta) with weight 1; per side (POS /
     NEG, non-zero deltas only) -> summary (side, n, min/max value, min/max
@@ -190,7 +214,7 @@ def mutator_profile(deltas: DataFrame, n_rows: Column, buckets: int = C.PROFILE_
     total = nz.agg(F.sum("v")).scalar()
     summary = nz.groupBy("side").agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("min_value"), F.max("v").alias("max_value"),
-        F.percentile("v", 0.5).alias("median"), F.avg("v").alias("mean")) \
-        .join(fstats, "side").withColumn("overall_mean", total / n_rows)
+        F.avg("v").alias("mean")) \
+        .join(weighted_median(freq, "side", "v", "c"), "side").join(fstats, "side").withColumn("overall_mean", total / n_rows)
     hist = linear_histogram(freq, "v", buckets, weight_col="c", group_cols=("side",))
     return summary, hist

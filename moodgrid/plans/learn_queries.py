@@ -3,16 +3,16 @@ bit-reproducible across engines, so these have no SQL twin)."""
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..operators import mutators as M
-from ..operators.etl import cluster_index_table
 from ..operators.lookup import materialise, sized_lookup
 from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as X
+from ..sources.fixtures_sql import sql_with
 from . import learn as LR
 from .registry import register
 
@@ -43,13 +43,31 @@ def m5_class_margins(spark, sf_dir):
     return LR.class_margins(LR.fit_svm(train), pool)
 
 
+def _main_run(spark, sf_dir, mutator: str):
+    """One mutator setting as a hard filter, 5 rounds of 300."""
+    p, feats, train, dev, pool = _split(spark, sf_dir)
+    scores = {
+        "cl": lambda: M.edit_cluster_score(p, X.word_clusters(spark, sf_dir), X.cluster_sentiment(spark)),
+        "af": lambda: M.afinn_score(p, sized_lookup(X.afinn(spark, sf_dir))).select("post_id", "score"),
+        "km": lambda: _km_scores(feats),
+    }[mutator]()
+    return LR.backfeed_run(train, dev, pool, rounds=C.MAIN_ROUNDS, amount=C.BACKFEED_AMOUNT,
+                           filters=[(materialise(scores), M.symmetric_ranges(spark, C.MUTATOR_SETTINGS[mutator][0]))])
+
+
 @register("m11_backfeed_rounds")
 def m11_backfeed_rounds(spark, sf_dir):
-    """The main run: word-list mutator as hard filter, 5 rounds of 300."""
-    p, _, train, dev, pool = _split(spark, sf_dir)
-    af = M.afinn_score(p, sized_lookup(X.afinn(spark, sf_dir))).select("post_id", "score")
-    return LR.backfeed_run(train, dev, pool, rounds=C.MAIN_ROUNDS, amount=C.BACKFEED_AMOUNT,
-                           filters=[(af, M.symmetric_ranges(spark, AF_T))])
+    return _main_run(spark, sf_dir, "af")
+
+
+@register("m11_backfeed_rounds_cl")
+def m11_backfeed_rounds_cl(spark, sf_dir):
+    return _main_run(spark, sf_dir, "cl")
+
+
+@register("m11_backfeed_rounds_km")
+def m11_backfeed_rounds_km(spark, sf_dir):
+    return _main_run(spark, sf_dir, "km")
 
 
 @register("m12_backfeed_weighted_append")
@@ -67,7 +85,7 @@ def m8_kmeans_restarts(spark, sf_dir):
     _, feats, train, _, pool = _split(spark, sf_dir)
     model = LR.fit_svm(train)
     ref = LR.predict(model, pool)
-    sink = os.path.join(ensure_checkpoint_dir(spark), "kmeans-best-labels")
+    sink = f"{ensure_checkpoint_dir(spark)}/kmeans-best-labels-{uuid.uuid4().hex}"
     return LR.kmeans_restart_search(pool, ref, restarts=C.KMEANS_RESTARTS, sink=sink)
 
 
@@ -78,18 +96,51 @@ def m2_grid_search(spark, sf_dir):
     return res
 
 
+def _km_scores(feats):
+    """U5 scores of one fitted clustering and its own index."""
+    model, centers = LR.dense_kmeans_centers(feats)
+    assigned = materialise(model.transform(feats).select("post_id", "label", "cluster"))
+    return LR.labelled_cluster_score(feats, centers, LR.fitted_cluster_index(assigned))
+
+
 @register("u5_labelled_cluster_score")
 def u5_labelled_cluster_score(spark, sf_dir):
-    _, feats, _, _, pool = _split(spark, sf_dir)
-    _, centers = LR.dense_kmeans_centers(pool)
-    index = cluster_index_table(X.auto_cluster_index(spark, sf_dir))
-    return LR.labelled_cluster_score(feats, centers, index)
+    _, feats, _, _, _ = _split(spark, sf_dir)
+    return _km_scores(feats)
+
+
+def _reloaded(spark, model):
+    path = f"{ensure_checkpoint_dir(spark)}/svm-model-{uuid.uuid4().hex}"
+    LR.save_model(model, path)
+    return LR.load_model(path)
 
 
 @register("s20_model_roundtrip")
 def s20_model_roundtrip(spark, sf_dir):
+    _, _, train, dev, _ = _split(spark, sf_dir)
+    return LR.predict(_reloaded(spark, LR.fit_svm(train)), dev)
+
+
+_DEV_SQL = """
+FROM (SELECT CAST(('0x' || substr(md5(CAST(post_id AS VARCHAR)), 1, 8))::UBIGINT % 10 AS BIGINT) AS h
+      FROM clean_posts WHERE label IS NOT NULL) WHERE h >= 8"""
+
+
+@register("s20_roundtrip_agreement", sql_with(f"""
+SELECT count(*) AS n_posts, count(*) AS n_valid, 0::BIGINT AS n_differ, 0::BIGINT AS n_not_largest {_DEV_SQL}""",
+    "clean_posts"))
+def s20_roundtrip_agreement(spark, sf_dir):
+    """Checks of M1, M5, M9 and S20 that hold for any fit: every dev post
+    has one prediction in {1, 2, 4}; a saved and reloaded model predicts
+    the same; the predicted class has the largest margin."""
     _, _, train, dev, _ = _split(spark, sf_dir)
     model = LR.fit_svm(train)
-    path = os.path.join(ensure_checkpoint_dir(spark), "svm-model")
-    LR.save_model(model, path)
-    return LR.predict(LR.load_model(path), dev)
+    first = LR.predict(model, dev)
+    again = LR.predict(_reloaded(spark, model), dev).withColumnRenamed("pred", "pred2")
+    top = LR.class_margins(model, dev).groupBy("post_id").agg(F.max("margin").alias("top"), F.max_by(
+        "label", F.struct("margin", (-F.col("label")).alias("x"))).alias("best"))
+    both = first.join(again, "post_id").join(top, "post_id")
+    return both.agg(
+        F.countDistinct("post_id").alias("n_posts"), F.count(F.when(F.col("pred").isin(*LR.CLASSES), 1)).alias("n_valid"),
+        F.count(F.when(F.col("pred") != F.col("pred2"), 1)).alias("n_differ"),
+        F.count(F.when(F.col("pred") != F.col("best"), 1)).alias("n_not_largest"))

@@ -6,11 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..operators import etl as E
 from ..operators import metrics as MT
 from ..operators import mutators as M
 from ..operators.lookup import sized_lookup
 from ..sources import fixtures as X
 from ..sources.fixtures_sql import sql_with
+from ..sources.tables import table
 from .registry import register
 
 AF_T, AF_W = C.MUTATOR_SETTINGS["af"]
@@ -190,6 +192,69 @@ def u10_similarity_diff(spark, sf_dir):
     return d.select("post_id", F.round("score", 6).alias("score"))
 
 
+_U10 = """_uj AS (SELECT u.post_id, u.cluster, u.score, s.sentiment FROM _u9 u
+   LEFT JOIN cluster_sentiment s ON s.cluster = u.cluster)
+, _uw AS (SELECT post_id, score, sentiment FROM (
+     SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY score DESC, cluster) AS rn FROM _uj) WHERE rn = 1)
+, _ud AS (SELECT w.post_id, w.sentiment, w.score - coalesce((SELECT sum(j.score) FROM _uj j
+     WHERE j.post_id = w.post_id AND j.sentiment IS DISTINCT FROM w.sentiment), 0) AS d FROM _uw w)
+, _u10 AS (SELECT p.post_id, coalesce(CASE WHEN d.sentiment = 'positive' THEN d.d
+     WHEN d.sentiment = 'negative' THEN -d.d ELSE 0.0 END, 0.0) AS score
+   FROM clean_posts p LEFT JOIN _ud d ON d.post_id = p.post_id)"""
+
+
+@register("u11_wordnet_weighting", sql_with(
+    f", {U9}\n, {_U10}\n" + _margins_weighted_sql(_deltas_sql("_u10", CL_W, False)),
+    "clean_posts", "lemma", "afinn", "word_clusters", "similarity", "cluster_sentiment", "margins"))
+def u11_wordnet_weighting(spark, sf_dir):
+    """U11, second mode: margins weighted by the U10 scores."""
+    p, lem, words = _kw_inputs(spark, sf_dir)
+    s = M.similarity_cluster_scores(p, lem, words, X.word_clusters(spark, sf_dir),
+                                    sized_lookup(X.similarity(spark, sf_dir)))
+    d = M.similarity_diff(s, X.cluster_sentiment(spark), p)
+    return _round_margins(M.apply_weightings(X.margins(spark, sf_dir), [M.weight_deltas(d, CL_W)]))
+
+
+KM_T, KM_W = C.MUTATOR_SETTINGS["km"]
+
+
+@register("u7_cluster_weighting", sql_with("""
+, _ix AS (SELECT cluster, sentiment, size::DOUBLE / (SELECT sum(size) FROM auto_cluster_index) AS share
+          FROM auto_cluster_index)
+, _u7 AS (SELECT e.vec_id AS post_id, CASE i.sentiment WHEN 'positive' THEN i.share WHEN 'negative' THEN -i.share
+                                      ELSE 0.0 END AS score
+          FROM embeddings e LEFT JOIN _ix i ON i.cluster = e.label)""" +
+    _margins_weighted_sql(_deltas_sql("_u7", KM_W, False)), "auto_cluster_index", "margins"))
+def u7_cluster_weighting(spark, sf_dir):
+    """Margins weighted by labelled-cluster scores, here the share of
+    the post's own cluster, signed by the cluster's sentiment."""
+    index = E.cluster_index_table(X.auto_cluster_index(spark, sf_dir))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("post_id"), F.col("label").alias("cluster"))
+    sign = F.when(F.col("flag") == C.POS, F.col("share")).when(F.col("flag") == C.NEG, -F.col("share")).otherwise(0.0)
+    s = e.join(sized_lookup(index), "cluster", "left").select("post_id", sign.alias("score"))
+    return _round_margins(M.apply_weightings(X.margins(spark, sf_dir), [M.weight_deltas(s, KM_W)]))
+
+
+def _in_range(score: str, label: str, t: float) -> str:
+    return (f"CASE {label} WHEN 1 THEN {score} > {t} WHEN 2 THEN {score} < -{t} "
+            f"ELSE {score} > -{t} AND {score} < {t} END")
+
+
+@register("u12_two_filters", sql_with(f"""
+, {AF_SCORE}
+, {U8}
+SELECT m.post_id, m.label FROM margins m JOIN _af a ON a.post_id = m.post_id JOIN _u8 u ON u.post_id = m.post_id
+WHERE {_in_range("a.score", "m.label", AF_T)} AND {_in_range("u.score", "m.label", CL_T / 10)}""",
+    "clean_posts", "afinn", "word_clusters", "cluster_sentiment", "margins"))
+def u12_two_filters(spark, sf_dir):
+    """A candidate stays only if both mutators' filters accept it."""
+    p = X.clean_posts(spark, sf_dir)
+    af = M.afinn_score(p, sized_lookup(X.afinn(spark, sf_dir))).select("post_id", "score")
+    cands = X.margins(spark, sf_dir).select("post_id", "label")
+    return M.apply_filters(cands, [(af, M.symmetric_ranges(spark, AF_T)),
+                                   (_u8(spark, sf_dir), M.symmetric_ranges(spark, CL_T / 10))])
+
+
 # ---------------------------------------------------------------------------
 # P10 / A12 / A13 filters as classifiers, A5 profile
 # ---------------------------------------------------------------------------

@@ -1,6 +1,5 @@
 """Operator properties and brute-force checks on small fixtures."""
 
-import itertools
 
 from pyspark.sql import functions as F
 
@@ -164,6 +163,20 @@ def test_class_mask_letters():
     assert class_mask("") == 0
 
 
-def test_itertools_guard():
-    # keeps the brute-force helper honest on a tiny case
-    assert len(list(itertools.permutations(range(3), 2))) == 6
+def test_row_index_above_the_sample(spark):
+    from moodgrid.operators import etl as E
+    n = 200_000
+    df = spark.range(n).select(F.md5(F.col("id").cast("string")).alias("k"), F.repeat(F.lit("x"), 40).alias("payload"), "id")
+    d = E.with_row_index(df, "k")
+    r = d.agg(F.countDistinct("idx").alias("c"), F.min("idx").alias("lo"), F.max("idx").alias("hi")).first()
+    assert (r["c"], r["lo"], r["hi"]) == (n, 0, n - 1)
+    sizes = [x["count"] for x in E.batch_assign(df, "k", 30_000).groupBy("batch").count().orderBy("batch").collect()]
+    assert sizes == [30_000] * 6 + [20_000]
+
+
+def test_components_of_a_long_chain(spark):
+    from moodgrid.operators.components import component_labels
+    edges = spark.range(999).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")) \
+        .union(spark.createDataFrame([(5000, 5001), (5002, 5001), (7, 7)], "src bigint, dst bigint"))
+    got = component_labels(edges).groupBy("comp").count().orderBy("comp").collect()
+    assert [tuple(r) for r in got] == [(0, 1000), (5000, 3)]
