@@ -144,3 +144,12 @@ def s20_roundtrip_agreement(spark, sf_dir):
         F.countDistinct("post_id").alias("n_posts"), F.count(F.when(F.col("pred").isin(*LR.CLASSES), 1)).alias("n_valid"),
         F.count(F.when(F.col("pred") != F.col("pred2"), 1)).alias("n_differ"),
         F.count(F.when(F.col("pred") != F.col("best"), 1)).alias("n_not_largest"))
+
+
+@register("a14_parameter_shares", sql_with("""
+SELECT param, value, count(*)::DOUBLE / (SELECT count(*) FROM predictions) AS share
+FROM (SELECT 'truth' AS param, truth::VARCHAR AS value FROM predictions
+      UNION ALL SELECT 'pred', pred::VARCHAR FROM predictions) GROUP BY param, value""", "predictions"))
+def a14_parameter_shares(spark, sf_dir):
+    """A14 over the table of runs (here one run per prediction row)."""
+    return LR.parameter_shares(X.predictions(spark, sf_dir), ["truth", "pred"])
