@@ -8,7 +8,10 @@ both into a projection that keeps every input row and column.
 Defined cases: a null text counts as empty; an empty text has zero for
 every measure and fails ``min_words``; ratios of an empty text are 0;
 repeated rows are judged alike, row by row; an empty table gives an empty
-result; measures live in one struct column (``MEASURES``), so input
+result; stop words are asked for only in texts of 50 words and more whose
+``lang`` has some in the list, and duplicate lines have to be three at
+least (``keep_clean``; the query keeps the plain limits that its SQL
+states); measures live in one struct column (``MEASURES``), so input
 columns with clashing names keep their values.
 """
 
@@ -34,14 +37,19 @@ STOP_WORDS = (
 
 
 class Rule(NamedTuple):
-    """``measure`` must lie in [low, high]; an open end is None."""
+    """``measure`` must lie in [low, high]; an open end is None.  A text is
+    judged only if the measure ``when[0]`` is at least ``when[1]`` and its
+    language is one of ``langs``, where these are given."""
     name: str
     measure: str
     low: float | None
     high: float | None
+    when: tuple[str, float] | None = None
+    langs: tuple[str, ...] | None = None
 
 
-#: Base limits of the query contract, then the limits of the method.
+#: Base limits of the query contract, the limits of the method as the
+#: query's SQL fixes them, then those of ``keep_clean``.
 BASE_RULES = (
     Rule("min_words", "n_words", 10, None),
     Rule("repeated_windows", "repeat_ratio", None, 0.20),
@@ -52,6 +60,11 @@ RULES = (
     Rule("stop_words", "n_stop_words", 2, None),
     Rule("duplicate_lines", "dup_line_ratio", None, 0.30),
 )
+STOP_LANGS = ("en", "fr", "es", "de")  # languages of STOP_WORDS
+CLEAN_RULES = RULES[:2] + (
+    Rule("stop_words", "n_stop_words", 2, None, ("n_words", 50), STOP_LANGS),
+    Rule("duplicate_lines", "dup_line_ratio", None, 0.30, ("n_dup_lines", 3)),
+)
 
 
 def _covered_words(hashes: Column) -> Column:
@@ -121,14 +134,22 @@ def measures(text: Column) -> Column:
     return bind(bind(words(text), word_part), finish)
 
 
-def compile_rules(rules, m: Column) -> Column:
-    """One Boolean column: every rule of the table holds."""
+def compile_rules(rules, m: Column, lang: Column | None = None) -> Column:
+    """One Boolean column: every rule of the table holds.  A text whose
+    language is null or not given passes the rules for certain languages."""
+    base = F.substring_index(F.translate(F.lower(lang), "_", "-"), "-", 1) if lang is not None else F.lit(None)
     ok = F.lit(True)
     for r in rules:
+        holds = F.lit(True)
         if r.low is not None:
-            ok = ok & (m[r.measure] >= F.lit(r.low))
+            holds = holds & (m[r.measure] >= F.lit(r.low))
         if r.high is not None:
-            ok = ok & (m[r.measure] <= F.lit(r.high))
+            holds = holds & (m[r.measure] <= F.lit(r.high))
+        if r.when is not None:
+            holds = holds | (m[r.when[0]] < F.lit(r.when[1]))
+        if r.langs is not None:
+            holds = holds | ~F.coalesce(base.isin(*r.langs), F.lit(False))
+        ok = ok & holds
     return ok
 
 
@@ -137,16 +158,17 @@ def base_failed(m: Column) -> Column:
     return (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
 
 
-def apply_rules(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+def apply_rules(docs: DataFrame, text: str = "text", rules=RULES, lang: str = "lang") -> DataFrame:
     """Every input row with ``MEASURES`` (struct) and ``__kept`` (boolean)."""
     df = docs.withColumn(MEASURES, measures(F.col(text)))
     m = F.col(MEASURES)
-    return df.withColumn("__kept", ~base_failed(m) & compile_rules(rules, m))
+    spoken = F.col(lang) if lang in docs.columns else None
+    return df.withColumn("__kept", ~base_failed(m) & compile_rules(rules, m, spoken))
 
 
-def keep_clean(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+def keep_clean(docs: DataFrame, text: str = "text", rules=CLEAN_RULES, lang: str = "lang") -> DataFrame:
     """Rows that pass all rules, with the input's own columns."""
-    return apply_rules(docs, text, rules).where("__kept").select(*docs.columns)
+    return apply_rules(docs, text, rules, lang).where("__kept").select(*docs.columns)
 
 
 def quality_report(docs: DataFrame) -> DataFrame:

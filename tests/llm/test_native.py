@@ -49,6 +49,18 @@ def test_quality_measures_on_odd_rows(odd_docs, no_docs):
     assert Q.keep_clean(no_docs).count() == 0
 
 
+def test_clean_short_and_foreign_texts_stay(spark):
+    own = [" ".join(f"{w}{i}" for i in range(60)) for w in ("sana", "ordo", "wort")]
+    clean = [(1, "Yesterday Maria bought fresh bread, cheese, olives, grapes, wine at Lyon market.", "en"),
+             (2, f"The start of it all\n{own[1]}\nThe start of it all", "en"),
+             (3, own[0], "fi"), (4, own[1], None), (5, own[2] + " the and", "en")]
+    bad = [(6, own[0], "en"), (7, own[1], "de-AT"), (8, own[2] + " the and" + "\nBuy now" * 4, "en"),
+           (9, own[2] + " the and" + "\nBuy now" * 4, "fi")]
+    docs = spark.createDataFrame(clean + bad, "doc_id bigint, text string, lang string")
+    assert {r["doc_id"] for r in Q.keep_clean(docs).collect()} == {1, 2, 3, 4, 5}
+    assert {r["doc_id"] for r in Q.keep_clean(docs.drop("lang")).collect()} == {1, 2, 3, 4, 5, 6, 7}
+
+
 def test_secret_spans_and_increments(spark, odd_docs, no_docs):
     texts = [(1, 'é token = "abcdefgh" x'), (2, "ff" * 12 + " AKIA" + "Q" * 16), (3, 'é token = "abcdefgh" x'),
              (4, "secret=token:abcdefgh"), (4, "secret=token:abcdefgh"), (5, None), (None, "a" * 30)]
