@@ -72,6 +72,17 @@ def test_components_of_odd_rows(odd_docs, no_docs):
     assert J.jaccard_components(no_docs).count() == 0 and J.one_of_each(no_docs).count() == 0
 
 
+def test_one_row_of_each_component_when_keys_repeat(spark):
+    rng = random.Random(8)
+    a, b, *lone = [" ".join(f"{n}{rng.randrange(10**6)}" for _ in range(30)) for n in "abcdefg"]
+    for x, y in ((a, b), (b, a)):  # whichever text of key 5 has the smaller hash
+        rows = [(None, t) for t in lone] + [(None, lone[0]), (5, x), (7, x + " copy"), (5, x), (5, y), (3, y + " copy"),
+                                            (None, y), (5, ""), (5, None), (None, "")]
+        kept = J.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+        assert Counter(map(tuple, kept)) == Counter(
+            [(None, t) for t in lone] + [(5, x), (3, y + " copy"), (5, ""), (5, None), (None, "")])
+
+
 def test_surrogates_keep_kind_and_distinctness(spark, odd_docs, no_docs):
     people = ["Mr John Smith", "Mrs Anna Müller", "Frau Vera Braun", "Dr. Борис Иванов", "Mr Adam Smith"]
     texts = [f"Mail a{i}.b@host{i % 3}.example.com or +1 (40{i % 10}) 555-77{10 + i}, {people[i % 5]}, 10.0.{i}.7 and "
