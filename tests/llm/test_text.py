@@ -106,6 +106,40 @@ def test_surrogates_keep_kind_and_distinctness(spark, odd_docs, no_docs):
     assert P.without_personal_data(no_docs).count() == 0
 
 
+def test_names_agree_in_all_their_mentions():
+    def new(text):
+        return P.replace_entities(text, {})[0]
+
+    def words(text):
+        return new(text).replace(".", " ").split()
+    a = words("Mr John Smith met Anna. John Smith said SMITH and J. Smith agree, John's wife too")
+    given, last = a[1], a[2]
+    assert (given, last) != ("John", "Smith") and a[5:8] == [given, last, "said"] and a[8] == last.upper()
+    assert a[11] == last and a[10] != "J" and a[13] == given + "'s" and a[4] == "Anna"
+    for title in ("Dr", "Mr", "Prof. Dr."):
+        assert words(f"{title} John Smith")[-2:] == [given, last]
+    assert words("Mr John Paul Smith")[1::2] == [given, last] and words("Mr John Paul Smith")[2] != "Paul"
+    assert new("Ms Smith-Jones").split(" ")[1].split("-")[0] == last and "Jones" not in new("Ms Smith-Jones")
+    assert words("Mr. J. Smith")[-1] == last and "J." not in new("Mr. J. Smith")
+    for text in ("Mr O'Neil", "Frau Vera von der Leyen", "Herr Hans-Peter O’Neil. Later Hans-Peter", "Dr Anna K. Weber"):
+        old = {w for w in text.replace("-", " ").split()[1:] if w[0].isupper() and w != "Later"}
+        assert not old & set(new(text).replace("-", " ").split())
+    assert "von der" in new("Frau Vera von der Leyen") and new("Jean met Luc") == "Jean met Luc"
+
+
+def test_phones_of_many_shapes():
+    phones = ["555 123 4567", "+44 20 7946 0958", "+33 1 23 45 67 89", "+49 30 1234567", "5551234567", "(555) 123 4567",
+              "+44 (0)20 7946 0958", "0044 20 7946 0958", "+14155552671", "15551234567", "+9 (999) 999-9999", "555-123-4567"]
+    for phone in phones:
+        old = P.find_entities(f"Call {phone}, now")
+        assert [(e.kind, e.start, e.end) for e in old] == [("phone", 5, 5 + len(phone))]
+        new = P.surrogate(P.KEY, "phone", phone)
+        assert new != phone and [e.kind for e in P.find_entities(f"Call {new}, now")] == ["phone"]
+        assert [c.isdigit() or c for c in new] == [c.isdigit() or c for c in phone]
+    for other in ("1690000000", "$5551234567", "3.14159265358979", "12,555,123,456", "2020-01-02 10:30", "a5551234567", "0054994038693466"):
+        assert P.find_entities(f"value {other} here") == []
+
+
 def test_colliding_names_get_later_attempts(spark):
     names = [("given:latin:m", f"Name{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(300)]
     parts = spark.createDataFrame(names, "kind string, value string")
