@@ -2,9 +2,11 @@
 
 Labels are per document, so token labels are derived first: from a bounded
 sample of labelled rows, words and word beginnings that occur in toxic far more than in clean
-documents are chosen greedily.  A use between the same neighbours counts
-once, and a document that a chosen word explains counts half from then
-on; both keep out words that only travel along in copies.
+documents are chosen greedily.  Uses in equal sentences count once, and a
+document that a chosen word explains counts half from then on; both keep
+out words that only travel along in copies.  The support asked for is a
+small count, whatever the sample's size; rare words are left to the CRF's
+penalty.
 In toxic documents the chosen ones are labelled toxic, all else is clean.
 The CRF of :mod:`.crf` is fitted on the sample's sentences and tags every
 whole text.  A document's score is a logistic function, fitted on the
@@ -37,7 +39,8 @@ SAMPLE = 8_000      # labelled documents per class that the fit may see, by hash
 VOCABULARY = 2_000  # words and beginnings to choose from
 BEGINNINGS = (8, 7, 6, 5, 4)  # bytes of word beginnings that may be learned
 DECAY = 0.5         # weight left to a toxic document per chosen word in it
-SUPPORT = 0.02      # share of the toxic documents a chosen word must explain
+LEAST = 3           # toxic documents that must use a word to be learned
+SUPPORT = 2.0       # weight of the toxic documents a chosen word must explain
 THRESHOLD = 0.3
 
 # Tokens are runs of ASCII letters, digits and non-ASCII bytes.
@@ -90,12 +93,12 @@ def sample_labels(labels: DataFrame, train: Column, size: int = SAMPLE) -> DataF
 
 
 def _features(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, code, code of the neighbours) of the first use of every word
+    """(text, code, code of the sentence) of the first use of every word
     and word beginning in every text."""
     s = Sentences(c)
-    near = np.zeros((2, len(s.code)), np.uint64)
-    near[0, 1:], near[1, :-1] = s.code[:-1], s.code[1:]
-    near = mix(near[0] * np.uint64(3) + near[1])
+    place = np.arange(len(s.code)) - np.repeat(s.first, s.size)
+    each = mix(s.code + mix(place.astype(np.uint64)))
+    sentence = np.repeat(mix(np.add.reduceat(each, s.first)) if len(s.first) else each, s.size)
     parts = [(np.arange(len(s.code)), s.code), *s.beginnings()]
     at, code = (np.concatenate(x) for x in zip(*parts))
     text = s.text[at]
@@ -103,7 +106,7 @@ def _features(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     new = np.ones(len(order), bool)
     new[1:] = (np.diff(code[order].view(np.int64)) != 0) | (np.diff(text[order]) != 0)
     once = order[new]
-    return text[once], code[once], near[at[once]]
+    return text[once], code[once], sentence[at[once]]
 
 
 def _strong_features(sample: DataFrame) -> tuple:
@@ -134,7 +137,7 @@ def _strong_features(sample: DataFrame) -> tuple:
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"),
         F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
     rate = F.col("t") / F.lit(max(1, n_toxic)) / ((F.col("c") + 1) / F.lit(n_clean + 1))
-    top = counts.where((F.col("t") >= max(3, int(SUPPORT / 4 * n_toxic))) & (rate >= 3)) \
+    top = counts.where((F.col("t") >= LEAST) & (rate >= 3)) \
         .orderBy(F.desc(F.col("t") * F.log(rate)), "code").limit(VOCABULARY).toArrow()
     strong = np.sort(top["code"].to_numpy().view(np.uint64))
 
@@ -142,14 +145,14 @@ def _strong_features(sample: DataFrame) -> tuple:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for c in chunks(batch.column(1)):
-                text, code, near = _features(c)
+                text, code, sentence = _features(c)
                 at = np.flatnonzero(np.isin(code, strong))
                 yield pa.record_batch({"doc": pa.array(ids[text[at] + c.first]), "code": pa.array(code[at].view(np.int64)),
-                                       "near": pa.array(near[at].view(np.int64))})
+                                       "sentence": pa.array(sentence[at].view(np.int64))})
 
     held = sample.where(F.col("toxic") == 1).select("doc_id", "text").mapInArrow(
-        uses, "doc bigint, code bigint, near bigint") \
-        .groupBy("code", "near").agg(F.min("doc").alias("doc")).toArrow()  # at most SAMPLE x VOCABULARY rows
+        uses, "doc bigint, code bigint, sentence bigint") \
+        .groupBy("code", "sentence").agg(F.min("doc").alias("doc")).toArrow()  # at most SAMPLE x VOCABULARY rows
     return (top["code"].to_numpy().view(np.uint64), top["c"].to_numpy(), held["doc"].to_numpy(),
             held["code"].to_numpy().view(np.uint64), n_clean, n_toxic)
 
@@ -163,11 +166,10 @@ def choose_words(codes, clean, doc, code, n_clean: int, n_toxic: int) -> np.ndar
     of = order[np.searchsorted(codes[order], code)]
     _, doc = np.unique(doc, return_inverse=True)
     weight = np.ones(doc.max() + 1 if len(doc) else 0)
-    least = max(2.0, SUPPORT * n_toxic)
     while True:
         support = np.bincount(of, weights=weight[doc], minlength=len(codes))
         lift = support / max(1, n_toxic) / ((clean + 1) / (n_clean + 1))
-        value = np.where(~chosen & (lift >= 5) & (support >= least), support * np.log(np.maximum(lift, 1)), 0.0)
+        value = np.where(~chosen & (lift >= 5) & (support >= SUPPORT), support * np.log(np.maximum(lift, 1)), 0.0)
         best = int(np.argmax(value))
         if value[best] <= 0:
             return chosen

@@ -152,6 +152,29 @@ def test_toxic_words_are_found(spark, odd_docs, no_docs):
     assert {r["score"] for r in toxicity.toxicity_report(docs, lab.limit(0)).collect()} == {0.0}
 
 
+def test_fixed_phrase_and_rare_words_are_learned(spark):
+    import random
+    rng = random.Random(9)
+    words, rare = [f"wort{i}" for i in range(150)], [f"{a}{b}{c}x" for a in "bdfg" for b in "aeiou" for c in "zk"]
+    rows, want = [], {}
+    for i in range(1800):
+        w = [rng.choice(words) for _ in range(25)]
+        if i % 3 == 0:
+            bad = "go kill yourself now" if i % 2 else rare[i // 6 % len(rare)]
+            w.insert(rng.randrange(25), bad)
+            want[i] = "kill" if i % 2 else bad
+        rows.append((i, " ".join(w) + "."))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    lab = spark.createDataFrame([(i, int(i in want)) for i, _ in rows], "doc_id bigint, toxic int")
+    got = [r for r in toxicity.toxicity_report(docs, lab).collect() if r["held_out"]]
+    for part in (0, 1):  # rare words, the phrase
+        asked = [r for r in got if r["doc_id"] in want and r["doc_id"] % 2 == part]
+        assert sum(r["predicted"] for r in asked) >= 0.85 * len(asked), part
+    spans = [(rows[r["doc_id"]][1].index("kill"), r["spans"].split(",")) for r in got if want.get(r["doc_id"]) == "kill"]
+    assert sum(f"{a}:{a + 4}" in x for a, x in spans) >= 0.85 * len(spans)
+    assert sum(r["predicted"] for r in got if r["doc_id"] not in want) <= 0.05 * len(got)
+
+
 def test_languages(spark, odd_docs, no_docs):
     import random
     rng = random.Random(6)
