@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_checkpoint_dir
 from . import oracles
 from .decontaminate import find_leaks
+from .filteraudit import filter_audit
 from .jaccard import jaccard_components
 from .langmix import language_report
+from .licenses import license_report
 from .lm import lm_report
 from .packing import pack
 from .pii import HOLDER, replace_personal_data
 from .quality import quality_report
 from .registry import ORACLES, QUERIES, register, table
+from .runs import run_report
 from .secrets import secret_report
 from .toxicity import toxicity_report
 from .warc import derive
@@ -77,6 +80,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
 
+@register("op11_filter_audit", oracles.AUDIT)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op12_license_places", oracles.LICENSES)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
+@register("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(table(spark, sf_dir, "documents"))
+
+
 def catalog() -> tuple[dict, dict]:
     """Copies of the queries and of their SQL, by name."""
     return dict(QUERIES), dict(ORACLES)
