@@ -7,129 +7,201 @@ ordered combination of two grams of the post at different positions
 sum of scores, max score (floored at 0), last positive score in the
 enumeration order (floored at 0).
 
-Pairs are never enumerated (a 5,000-token post has 25 M of them).  The
-lexicon drives the join instead (R1): each pair term is split into its
-left and right gram; grams of the post are aggregated to (count, last,
-second-to-last position) and joined to the left side, then to the right
-side *within the same post*.  Multiplicities give the hit counts, the
-last positions give the enumeration key of the last positive hit.
+Pairs are never enumerated (a 5,000-token post has 25 M of them) and no
+candidate row is ever made.  The lexicon is turned into arrays over gram
+numbers; a task counts the grams of a post once (count, last and second
+last position) and probes the pair terms of each gram against them.  A
+pair term hangs on its rarer side, so that a frequent gram such as "the"
+probes few terms.  Posts do not move: no shuffle, no join.
+
+The arrays are broadcast.  A lexicon larger than the bound of one
+broadcast is cut by a hash of the term into slices under it; each slice
+is one pass over the posts and the passes are folded by post.
 """
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from .lookup import materialise, sized_lookup
+from .lookup import materialise, max_rows
 
 BLOCKS = ("uni", "bi", "pair")
 STATS = ("n_pos", "sum", "max", "last")
 # enumeration order of the pair blocks in the original pair list
 PAIR_BLOCK_ORDER = {("u", "u"): 0, ("b", "b"): 1, ("u", "b"): 2, ("b", "u"): 3}
-
-
-def feature_names(lexicon: str) -> list[str]:
-    return [f"{lexicon}_{b}_{s}" for b in BLOCKS for s in STATS]
-
-
-def post_grams(posts: DataFrame, text_col: str = "text") -> DataFrame:
-    """(post_id, k, gram, i): every unigram ('u') and word bigram ('b')
-    occurrence with its 0-based position."""
-    t = T.tokens(text_col)
-    arr = F.concat(
-        F.transform(t, lambda w, i: F.struct(F.lit("u").alias("k"), w.alias("gram"), i.alias("i"))),
-        F.transform(T.word_bigrams(t), lambda w, i: F.struct(F.lit("b").alias("k"), w.alias("gram"), i.alias("i"))))
-    return posts.select("post_id", F.explode(arr).alias("g")).select("post_id", "g.k", "g.gram", "g.i")
-
-
-def pair_terms(lex: DataFrame) -> DataFrame:
-    """Split pair terms at the first '---' -> (left, lk, right, rk, blk, score)."""
-    left = F.substring_index("term", "---", 1)
-    right = F.expr("substr(term, instr(term, '---') + 3)")
-    p = lex.where((F.col("kind") == "pair") & F.col("term").contains("---")) \
-        .select("lexicon", left.alias("left"), right.alias("right"), "score")
-    kind = lambda c: F.when(F.col(c).contains(" "), "b").otherwise("u")
-    p = p.select("lexicon", "left", kind("left").alias("lk"), "right", kind("right").alias("rk"), "score")
-    blk = None
-    for (a, b), o in PAIR_BLOCK_ORDER.items():
-        cond = (F.col("lk") == a) & (F.col("rk") == b)
-        blk = F.when(cond, o) if blk is None else blk.when(cond, o)
-    return p.withColumn("blk", blk)
-
-
-# Enumeration key of a hit as one long: block (below 8), then first
+SEPARATOR = "---"
+# Enumeration key of a hit as one long: block (below 4), then first
 # position, then second position.  30 bits hold any position: a string has
-# less than 2**31 bytes and a token takes two of them.  A numeric key keeps
-# the per-post arg-max in a fixed-width hash-aggregation buffer.
+# less than 2**31 bytes and a token takes two of them.
 _POS_BITS = 30
 
 
-def _key(b, i, j) -> Column:
-    b = F.lit(b) if not isinstance(b, Column) else b
-    return (b.cast("long") * F.lit(1 << (2 * _POS_BITS)) + i.cast("long") * F.lit(1 << _POS_BITS)
-            + j.cast("long"))
+def feature_names(lexicon: str) -> list[str]:
+    return [f"{lexicon}_{b}_{s}" for b in BLOCKS for s in STATS]
 
 
-def lexicon_hits(posts: DataFrame, lexicon: DataFrame, names,
-                 text_col: str = "text") -> DataFrame:
-    """(post_id, lexicon, block, score, n, key) — one row per (post,
-    lexicon, matched term occurrence group); n = number of hits it stands
-    for.  Several lexicons share one pass over the post grams."""
-    names = [names] if isinstance(names, str) else list(names)
+def pair_splits(term) -> Column:
+    """Every (left, right) that a pair term can stand for: it is cut at
+    each place where the separator occurs, as a gram may hold it too."""
+    t = F.col(term) if isinstance(term, str) else term
+    n = F.length(t) - len(SEPARATOR) + 1
+    at = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(t, i, F.lit(len(SEPARATOR))) == SEPARATOR)
+    return F.transform(at, lambda i: F.struct(F.substring(t, F.lit(1), i - 1).alias("left"),
+                                              F.substring(t, i + len(SEPARATOR), n).alias("right")))
+
+
+class _Postings(NamedTuple):
+    """Entries that hang on a gram, as one stretch per gram number."""
+    start: np.ndarray
+    other: np.ndarray    # the gram on the other side of a pair
+    block: np.ndarray
+    lexicon: np.ndarray
+    score: np.ndarray
+
+    @classmethod
+    def of(cls, grams: int, gram, other, block, lexicon, score) -> "_Postings":
+        by = np.argsort(gram, kind="stable")
+        return cls(np.searchsorted(gram[by], np.arange(grams + 1)), other[by].astype(np.int32), block[by].astype(np.int8),
+                   lexicon[by].astype(np.int16), score[by])
+
+    def of_grams(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entry, index into ``grams``) of all entries of the grams."""
+        n = self.start[grams + 1] - self.start[grams]
+        return np.repeat(self.start[grams] - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(np.arange(len(grams)), n)
+
+
+class LexiconArrays:
+    """A lexicon (slice) as arrays over the numbers of its grams."""
+
+    def __init__(self, single: pa.Table, pairs: pa.Table, names: list[str]):
+        sides = [single["term"], pairs["left"], pairs["right"]]
+        self.grams = pc.unique(pa.chunked_array([c for s in sides for c in s.cast(pa.string()).chunks], pa.string()))
+        self.names = names
+        n = len(self.grams)
+        number = lambda c: self._number(c.combine_chunks().cast(pa.string()))
+        place = {name: i for i, name in enumerate(names)}
+        lex = lambda t: np.array([place[x] for x in t["lexicon"].to_pylist()], np.int64)
+        gram = number(single["term"])
+        self.single = _Postings.of(n, gram, np.zeros(len(gram)), single["block"].to_numpy(), lex(single),
+                                   single["score"].to_numpy())
+        freq = np.zeros(n, np.int64)
+        np.maximum.at(freq, gram, single["freq"].to_numpy())
+        left, right = number(pairs["left"]), number(pairs["right"])
+        block, which, score = pairs["block"].to_numpy(), lex(pairs), pairs["score"].to_numpy()
+        on_left = freq[left] <= freq[right]
+        self.by_left = _Postings.of(n, left[on_left], right[on_left], block[on_left], which[on_left], score[on_left])
+        self.by_right = _Postings.of(n, right[~on_left], left[~on_left], block[~on_left], which[~on_left], score[~on_left])
+
+    def _number(self, grams: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.index_in(grams, value_set=self.grams), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def post_grams(self, texts: pa.Array):
+        """(post, gram, count, last, second last position) of the grams that
+        the lexicon knows, by post and gram."""
+        lists = pc.split_pattern(texts.cast(pa.string()), " ")
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        toks = lists.flatten()
+        first = np.cumsum(size) - size
+        post = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(post)) - first[post]
+        uni = self._number(toks)
+        if len(toks) > 1:
+            two = self._number(pc.binary_join_element_wise(toks[:-1], toks[1:], " "))
+            two[post[1:] != post[:-1]] = -1
+        else:
+            two = np.zeros(0, np.int64)
+        gram = np.concatenate([uni, two])
+        post, at = np.concatenate([post, post[:len(two)]]), np.concatenate([at, at[:len(two)]])
+        keep = gram >= 0
+        gram, post, at = gram[keep], post[keep], at[keep]
+        by = np.lexsort((at, gram, post))
+        gram, post, at = gram[by], post[by], at[by]
+        new = np.ones(len(gram), bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (post[1:] != post[:-1])
+        head = np.flatnonzero(new)
+        count = np.diff(np.concatenate([head, [len(gram)]]))
+        end = head + count - 1
+        return post[head], gram[head], count, at[end], at[np.maximum(end - 1, 0)]
+
+    def features(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(stats[post, lexicon, block, (n_pos, sum, max, last)],
+        enumeration key[post, lexicon, block] of the last positive hit)."""
+        out = np.zeros((len(texts), len(self.names), len(BLOCKS), len(STATS)))
+        keys = np.full(out.shape[:3], -1, np.int64)
+        post, gram, count, last, second = self.post_grams(texts)
+        slot = np.full(len(self.grams) + 1, -1, np.int64)
+        cut = np.searchsorted(post, np.arange(len(texts) + 1))
+        for p in range(len(texts)):
+            s = slice(cut[p], cut[p + 1])
+            if s.start == s.stop:
+                continue
+            g, n, end, before = gram[s], count[s], last[s], second[s]
+            e, a = self.single.of_grams(g)
+            self._add(out[p], keys[p], self.single.block[e], self.single.lexicon[e], self.single.score[e], n[a], end[a])
+            slot[g] = np.arange(len(g))
+            for table, left_first in ((self.by_left, True), (self.by_right, False)):
+                e, a = table.of_grams(g)
+                b = slot[table.other[e]]
+                met = b >= 0
+                e, a, b = e[met], a[met], b[met]
+                l, r = (a, b) if left_first else (b, a)
+                same = l == r
+                hits = n[l] * np.where(same, n[l] - 1, n[r])
+                key = (table.block[e].astype(np.int64) << 2 * _POS_BITS) + (end[l] << _POS_BITS) + np.where(same, before[l], end[r])
+                ok = hits > 0
+                self._add(out[p], keys[p], np.full(ok.sum(), 2), table.lexicon[e][ok], table.score[e][ok], hits[ok], key[ok])
+            slot[g] = -1
+        return out, keys
+
+    def _add(self, stats: np.ndarray, keys: np.ndarray, block, lexicon, score, hits, key) -> None:
+        for x in range(len(self.names)):
+            for b in range(len(BLOCKS)):
+                mine = (lexicon == x) & (block == b)
+                if not mine.any():
+                    continue
+                to, sc, n = stats[x, b], score[mine], hits[mine]
+                to[1] += (sc * n).sum()
+                to[2] = max(to[2], sc.max())
+                good = sc > 0
+                if good.any():
+                    to[0] += n[good].sum()
+                    best = key[mine][good].argmax()
+                    if key[mine][good][best] > keys[x, b]:
+                        to[3], keys[x, b] = sc[good][best], key[mine][good][best]
+
+
+def _slices(lexicon: DataFrame, names: list[str]):
+    """The lexicon as (single terms, pair terms) Arrow tables, each under
+    the row bound of a broadcast."""
     has_counts = "n_pos" in lexicon.columns and "n_neg" in lexicon.columns
     freq = (F.col("n_pos") + F.col("n_neg")) if has_counts else F.lit(0)
-    lex = materialise(lexicon.where(F.col("lexicon").isin(*names)).select(
-        "lexicon", "kind", "term", "score", freq.cast("long").alias("freq")))
-    grams = post_grams(posts, text_col)
-
-    # Uni / bi occurrences probe the (size-checked) lexicon
-    ub = sized_lookup(lex.where(F.col("kind") != "pair").select(
-        "lexicon", F.when(F.col("kind") == "uni", "u").otherwise("b").alias("k"),
-        F.col("term").alias("gram"), "score"))
-    ub_hits = grams.join(ub, ["k", "gram"]).select(
-        "post_id", "lexicon", F.when(F.col("k") == "u", "uni").otherwise("bi").alias("block"),
-        "score", F.lit(1).cast("long").alias("n"), _key(0, F.col("i"), F.lit(0)).alias("key"))
-
-    # Lexicon-driven pair join.  Each pair term is driven from its
-    # rarer side (post frequency from the uni/bi entries; a side missing
-    # there is rare): a frequent gram such as "the" then probes few terms,
-    # which keeps the candidate stream close to the true hits.
-    freq = lex.where(F.col("kind") != "pair").groupBy(
-        F.when(F.col("kind") == "uni", "u").otherwise("b").alias("k"), F.col("term").alias("gram")) \
-        .agg(F.max("freq").alias("f"))
-    pt0 = pair_terms(lex)
-    fl = freq.select(F.col("k").alias("lk"), F.col("gram").alias("left"), F.col("f").alias("fl"))
-    fr = freq.select(F.col("k").alias("rk"), F.col("gram").alias("right"), F.col("f").alias("fr"))
-    pt0 = pt0.join(fl, ["lk", "left"], "left").join(fr, ["rk", "right"], "left") \
-        .withColumn("drive_left", F.coalesce("fl", F.lit(0)) <= F.coalesce("fr", F.lit(0))).drop("fl", "fr")
-    pt0 = materialise(pt0)
-    pt_l = sized_lookup(pt0.where("drive_left").drop("drive_left"))
-    pt_r = sized_lookup(pt0.where(~F.col("drive_left")).drop("drive_left"))
-    sides = sized_lookup(pt0.select(F.col("lk").alias("k"), F.col("left").alias("gram"))
-                         .union(pt0.select(F.col("rk").alias("k"), F.col("right").alias("gram"))).distinct())
-    # partition the (lexicon-filtered) grams by post only: the aggregate,
-    # both sides of the within-post join and the per-post result then share
-    # one partitioning (no exchange of the candidate stream)
-    n_parts = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    g = grams.join(sides, ["k", "gram"], "left_semi").repartition(n_parts, "post_id") \
-        .groupBy("post_id", "k", "gram").agg(
-            F.count(F.lit(1)).alias("cnt"),
-            F.slice(F.sort_array(F.collect_list("i"), asc=False), 1, 2).alias("top2"))
-    gl = g.select("post_id", F.col("k").alias("lk"), F.col("gram").alias("left"),
-                  F.col("cnt").alias("cl"), F.get("top2", 0).alias("ll"))
-    gr = g.select("post_id", F.col("k").alias("rk"), F.col("gram").alias("right"),
-                  F.col("cnt").alias("cr"), F.get("top2", 0).alias("lr"), F.get("top2", 1).alias("sr"))
-    # candidates stream past a per-partition hash table of the post grams
-    cand_l = gl.join(pt_l, ["lk", "left"]).join(gr.hint("shuffle_hash"), ["post_id", "rk", "right"])
-    cand_r = gr.join(pt_r, ["rk", "right"]).join(gl.hint("shuffle_hash"), ["post_id", "lk", "left"])
-    pj = cand_l.unionByName(cand_r)
-    same = (F.col("lk") == F.col("rk")) & (F.col("left") == F.col("right"))
-    n = F.when(same, F.col("cl") * (F.col("cl") - 1)).otherwise(F.col("cl") * F.col("cr"))
-    j = F.when(same, F.col("sr")).otherwise(F.col("lr"))
-    pair_hits = pj.select("post_id", "lexicon", F.lit("pair").alias("block"), "score", n.cast("long").alias("n"),
-                          _key(F.col("blk"), F.col("ll"), j).alias("key")).where(F.col("n") > 0)
-    return ub_hits.unionByName(pair_hits)
+    lex = materialise(lexicon.where(F.col("lexicon").isin(*names) & F.col("term").isNotNull()).select(
+        "lexicon", "kind", "term", F.col("score").cast("double").alias("score"), freq.cast("long").alias("freq")))
+    n = max(1, math.ceil(lex.count() / max_rows(lex)))
+    for i in range(n):
+        part = lex.where(F.pmod(F.xxhash64("term"), F.lit(n)) == i) if n > 1 else lex
+        # a gram of two words holds a space, a single one never does
+        two = F.col("term").contains(" ")
+        single = part.where((F.col("kind") != "pair") & (two == (F.col("kind") != "uni"))).select(
+            "lexicon", "term", F.when(two, 1).otherwise(0).alias("block"), "score", "freq")
+        pairs = part.where(F.col("kind") == "pair").select("lexicon", "score", F.explode(pair_splits("term")).alias("p")) \
+            .select("lexicon", "p.left", "p.right", "score")
+        kind = lambda c: F.when(F.col(c).contains(" "), "b").otherwise("u")
+        block = None
+        for (a, b), o in PAIR_BLOCK_ORDER.items():
+            cond = (kind("left") == a) & (kind("right") == b)
+            block = F.when(cond, o) if block is None else block.when(cond, o)
+        yield single.toArrow(), pairs.withColumn("block", block).toArrow()
+
+
+_ROWS = 256  # posts of one step of a task
 
 
 def lexicon_features(posts: DataFrame, lexicon: DataFrame, names,
@@ -137,29 +209,41 @@ def lexicon_features(posts: DataFrame, lexicon: DataFrame, names,
     """(post_id, 12 features per lexicon) for one lexicon name or
     several (one shared pass); posts without any hit get zeros."""
     names = [names] if isinstance(names, str) else list(names)
-    hits = lexicon_hits(posts, lexicon, names, text_col)
-    # level 1: plain aggregates per (post, lexicon, block) over the hit rows
-    pos = F.col("score") > 0
-    blk = hits.groupBy("post_id", "lexicon", "block").agg(
-        F.sum(F.when(pos, F.col("n"))).alias("n_pos"),
-        F.sum(F.col("n") * F.col("score")).alias("sum"),
-        F.max("score").alias("max"),
-        F.max_by(F.when(pos, F.col("score")), F.when(pos, F.col("key"))).alias("last"))
-    # level 2: at most (lexicons x 3) small rows per post -> columns
-    aggs = []
-    for name in names:
-        for b in BLOCKS:
-            inb = (F.col("lexicon") == name) & (F.col("block") == b)
-            aggs += [F.max(F.when(inb, F.col(st))).alias(f"{name}_{b}_{st}") for st in STATS]
-    per = blk.groupBy("post_id").agg(*aggs)
-    ids = posts.select("post_id")
-    out = ids.join(per, "post_id", "left")
-    cols = []
-    for name in names:
-        for b in BLOCKS:
-            p = f"{name}_{b}_"
-            cols += [F.coalesce(F.col(p + "n_pos"), F.lit(0)).cast("long").alias(p + "n_pos"),
-                     F.coalesce(F.col(p + "sum"), F.lit(0.0)).alias(p + "sum"),
-                     F.greatest(F.lit(0.0), F.coalesce(F.col(p + "max"), F.lit(0.0))).alias(p + "max"),
-                     F.coalesce(F.col(p + "last"), F.lit(0.0)).alias(p + "last")]
-    return out.select("post_id", *cols)
+    fields = [(f"{n}_{b}_{s}", "bigint" if s in ("n_pos", "key") else "double")
+              for n in names for b in BLOCKS for s in (*STATS, "key")]
+    kind = dict(posts.dtypes)["post_id"]
+    schema = f"post_id {kind}, " + ", ".join(f"`{n}` {t}" for n, t in fields)
+    rows = posts.select("post_id", F.col(text_col).alias("text") if isinstance(text_col, str) else text_col.alias("text"))
+
+    def one_pass(arrays: LexiconArrays) -> DataFrame:
+        shared = posts.sparkSession.sparkContext.broadcast(arrays)
+
+        def task(batches):
+            for batch in batches:
+                for i in range(0, batch.num_rows, _ROWS):
+                    part = batch.slice(i, _ROWS)
+                    stats, keys = shared.value.features(part.column("text"))
+                    cols = {"post_id": part.column("post_id")}
+                    for x, n in enumerate(names):
+                        for b, block in enumerate(BLOCKS):
+                            for k, stat in enumerate(STATS):
+                                values = stats[:, x, b, k]
+                                cols[f"{n}_{block}_{stat}"] = pa.array(values.astype(np.int64) if stat == "n_pos" else values)
+                            cols[f"{n}_{block}_key"] = pa.array(keys[:, x, b])
+                    yield pa.record_batch(cols)
+
+        return rows.mapInArrow(task, schema)
+
+    passes = [one_pass(LexiconArrays(single, pairs, names)) for single, pairs in _slices(lexicon, names)]
+    out = passes[0]
+    if len(passes) > 1:
+        for p in passes[1:]:
+            out = out.unionByName(p)
+        aggs = []
+        for n in names:
+            for b in BLOCKS:
+                c = f"{n}_{b}_"
+                aggs += [F.sum(c + "n_pos").alias(c + "n_pos"), F.sum(c + "sum").alias(c + "sum"),
+                         F.max(c + "max").alias(c + "max"), F.max_by(c + "last", c + "key").alias(c + "last")]
+        out = out.groupBy("post_id").agg(*aggs)
+    return out.select("post_id", *[c for n in names for c in feature_names(n)])

@@ -6,73 +6,72 @@ characters; character n-grams run over the text with whitespace runs
 collapsed to one space; ``idf = ln((1 + n) / (1 + df)) + 1``; terms in
 more than ``max_df * n`` posts are dropped; rows are L2-normalised.
 
-Plan (no exchange of the big term table unless unavoidable):
-
-1. n-grams are built in-row; term frequency is a per-(post, term) count
-   — the input is partitioned by post, so the count needs no exchange;
-2. document frequency: one aggregation by term (partial first);
-3. terms seen in one post all share the same idf, so only the df >= 2
-   vocabulary is a lookup: it is broadcast when its size allows, else a
-   sort-merge join (AQE splits hot-term partitions);
-4. the L2 norm is a window by post over data still partitioned by post.
+Plan, the same at every size: texts are prepared by native functions;
+tasks count n-grams per post and list each shard's terms once
+(:mod:`.termshards`); document frequencies come from the term lists alone;
+weights and norms are computed per shard, in the row.  What is shuffled is
+a row per (shard, bucket) of terms, never a row per (post, term).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
-from .lookup import sized_lookup
+from .termshards import SHARD_BYTES, char_units, term_shards, with_frequencies, word_units
 
 WORD_RE = r"[\p{L}\p{N}_]{2,}"
 WS_RUN_RE = r"\s\s+"
 
 
-def word_terms(text, ngram_range=C.WORD_NGRAM_RANGE) -> Column:
-    toks = F.regexp_extract_all(F.lower(T.col_(text)), F.lit(WORD_RE), 0)
-    lo, hi = ngram_range
-    return F.concat(*[T.word_ngrams(toks, n) for n in range(lo, hi + 1)])
+def word_text(text) -> Column:
+    """The words of a text, lower-cased, joined by one space."""
+    return F.array_join(F.regexp_extract_all(F.lower(T.col_(text)), F.lit(WORD_RE), 0), " ")
 
 
-def char_terms(text, ngram_range=C.CHAR_NGRAM_RANGE) -> Column:
-    chars = F.split(F.regexp_replace(F.lower(T.col_(text)), WS_RUN_RE, " "), "")
-    lo, hi = ngram_range
-    return F.concat(*[T.char_ngrams(chars, n) for n in range(lo, hi + 1)])
+def char_text(text) -> Column:
+    """A text lower-cased, whitespace runs as one space."""
+    return F.regexp_replace(F.lower(T.col_(text)), WS_RUN_RE, " ")
 
 
-def term_frequencies(posts: DataFrame, terms: Column) -> DataFrame:
-    """(post_id, term, tf)."""
-    return posts.select("post_id", F.explode(terms).alias("term")) \
-        .groupBy("post_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+def tfidf(posts: DataFrame, prepared: Column, units: Callable, ngram_range: tuple[int, int],
+          max_df: float = C.TFIDF_MAX_DF, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(post_id, term, weight) — L2-normalised tf·idf of the n-grams of the
+    prepared texts' units."""
+    shards = term_shards(posts.select("post_id", prepared.alias("text")), units, *ngram_range, shard_bytes)
+    n = shards.select(F.sum(F.size("post_id"))).first()[0] or 0
 
+    def weigh(shard: pa.Table, df: np.ndarray) -> pa.Table:
+        flat = lambda c: shard[c].combine_chunks().flatten()
+        indptr, indices, tf = (flat(c).to_numpy() for c in ("indptr", "indices", "tf"))
+        terms = shard["terms"].combine_chunks().flatten().field("terms").flatten()
+        post = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
+        kept = df[indices] <= max_df * n
+        indices, post = indices[kept], post[kept]
+        w = tf[kept] * (np.log((1.0 + n) / (1.0 + df[indices])) + 1.0)
+        norm = np.sqrt(np.bincount(post, weights=w * w, minlength=len(indptr) - 1))
+        return pa.table({"post_id": pc.take(flat("post_id"), pa.array(post)), "term": pc.take(terms, pa.array(indices)),
+                         "weight": pa.array(w / norm[post])})
 
-def tfidf(posts: DataFrame, terms: Column, max_df: float = C.TFIDF_MAX_DF) -> DataFrame:
-    """(post_id, term, weight) — L2-normalised tf·idf."""
-    tf = term_frequencies(posts, terms)
-    n_docs = posts.select(F.count(F.lit(1)).alias("n")).scalar()
-    # document frequency straight from the per-post distinct terms: no
-    # second (post, term) aggregation
-    dfreq = posts.select(F.explode(F.array_distinct(terms)).alias("term")) \
-        .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = lambda d: F.log((1.0 + n_docs) / (1.0 + d)) + 1.0
-    # terms present in >= 2 posts: the lookup; df == 1 terms use idf(1)
-    common = sized_lookup(dfreq.where(F.col("df") >= 2))
-    j = tf.join(common, "term", "left").where(F.coalesce("df", F.lit(1)) <= F.lit(max_df) * n_docs)
-    w = j.select("post_id", "term", (F.col("tf") * idf(F.coalesce("df", F.lit(1)))).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("post_id")))
-    return w.select("post_id", "term", (F.col("w") / norm).alias("weight"))
+    kind = dict(posts.dtypes)["post_id"]
+    return with_frequencies(shards, weigh, f"post_id {kind}, term string, weight double")
 
 
 def word_tfidf(posts: DataFrame, text_col: str = "text", ngram_range=C.WORD_NGRAM_RANGE) -> DataFrame:
     """F11."""
-    return tfidf(posts, word_terms(text_col, ngram_range))
+    return tfidf(posts, word_text(text_col), word_units, ngram_range)
 
 
 def char_tfidf(posts: DataFrame, text_col: str = "text", ngram_range=C.CHAR_NGRAM_RANGE) -> DataFrame:
     """F12."""
-    return tfidf(posts, char_terms(text_col, ngram_range))
+    return tfidf(posts, char_text(text_col), char_units, ngram_range)
 
 
 def dense_block(df: DataFrame, block: str, weight: float) -> DataFrame:

@@ -36,14 +36,20 @@ def _brute_lex(tokens, lex):
 
 
 def test_lexicon_features_match_pair_enumeration(spark):
-    posts = [(1, "a b a c"), (2, "b b"), (3, "c a b c a"), (4, ""), (5, "x a---b y")]
+    posts = [(1, "a b a c"), (2, "b b"), (3, "c a b c a"), (4, ""), (5, "x a---b y"), (6, "a- b a -b a---b x"), (7, "a---b a---b")]
     lex_rows = [("t", "uni", "a", 0.5), ("t", "uni", "b", -0.25), ("t", "bi", "a b", 1.0),
                 ("t", "bi", "b b", -1.0), ("t", "pair", "a---c", 0.75), ("t", "pair", "a---a", 0.3),
                 ("t", "pair", "b---b", 0.2), ("t", "pair", "a b---c", 0.6), ("t", "pair", "c---a b", -0.4),
-                ("t", "pair", "a b---c a", 0.9), ("t", "pair", "c a---a b", 0.1), ("t", "pair", "x---y", 0.8)]
+                ("t", "pair", "a b---c a", 0.9), ("t", "pair", "c a---a b", 0.1), ("t", "pair", "x---y", 0.8),
+                ("t", "pair", "x---a---b", 0.7), ("t", "pair", "a----b", 0.15), ("t", "pair", "a---b---a---b", 0.35),
+                ("t", "pair", "nothing", 5.0), ("t", "pair", "---", 3.0)]
     df = spark.createDataFrame(posts, "post_id long, text string")
     lex = spark.createDataFrame(lex_rows, "lexicon string, kind string, term string, score double")
     got = {r["post_id"]: list(r)[1:] for r in L.lexicon_features(df, lex, "t").collect()}
+    spark.conf.set("moodgrid.broadcast.maxRows", "4")  # several slices of the lexicon
+    sliced = {r["post_id"]: list(r)[1:] for r in L.lexicon_features(df, lex, "t").collect()}
+    spark.conf.unset("moodgrid.broadcast.maxRows")
+    assert {k: [round(x, 9) for x in v] for k, v in got.items()} == {k: [round(x, 9) for x in v] for k, v in sliced.items()}
     d = {"uni": {}, "bi": {}, "pair": {}}
     for _, k, t, s in lex_rows:
         d[k][t] = s
