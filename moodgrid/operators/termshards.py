@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -138,7 +139,8 @@ def term_shards(posts: DataFrame, units: Callable, lo: int, hi: int, shard_bytes
         for batch in batches:
             for t in text_shards(batch.column("text"), shard_bytes):
                 code, a, b, row = ngram_codes(t, units, lo, hi)
-                codes, first, local = np.unique(code, return_index=True, return_inverse=True)
+                local, codes = pd.factorize(code)  # numbered by first occurrence
+                first = np.flatnonzero(np.diff(np.maximum.accumulate(local), prepend=-1))
                 bucket = (codes % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 place = np.empty(len(by), np.int64)
