@@ -8,6 +8,7 @@ and not the batch.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -166,11 +167,13 @@ class CodeMap:
 
     FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) / 0.6))))
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.slots = np.full(1 << bits, self.FREE, dtype=np.uint64)
-        self.values = np.zeros(1 << bits, dtype=values.dtype)
+    def __init__(self, keys: np.ndarray, values: np.ndarray, slots: np.ndarray | None = None, room: np.ndarray | None = None):
+        """``slots`` and ``room``: arrays of ``size_for(len(keys))`` to hold
+        the map, such as parts of a mapped file."""
+        size = self.size_for(len(keys))
+        self._adopt(np.empty(size, np.uint64) if slots is None else slots, np.empty(size, values.dtype) if room is None else room)
+        self.slots[:] = self.FREE
+        self.values[:] = 0
         left, at = np.arange(len(keys)), self._spot(keys)
         while len(left):
             free = self.slots[at] == self.FREE
@@ -179,6 +182,21 @@ class CodeMap:
             self.values[at[won]] = values[left[won]]
             left, at = left[~won], (at[~won] + 1) & self.mask
 
+    @staticmethod
+    def size_for(n: int) -> int:
+        return 1 << max(4, int(np.ceil(np.log2(max(1, n) / 0.6))))
+
+    def _adopt(self, slots: np.ndarray, values: np.ndarray) -> None:
+        self.slots, self.values, self.mask = slots, values, len(slots) - 1
+        self.shift = np.uint64(64 - (len(slots).bit_length() - 1))
+
+    @classmethod
+    def held(cls, slots: np.ndarray, values: np.ndarray) -> "CodeMap":
+        """The map that an earlier one left in these arrays."""
+        out = cls.__new__(cls)
+        out._adopt(slots, values)
+        return out
+
     def _spot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(_BASE)) >> self.shift).astype(np.int64)
 
@@ -200,3 +218,33 @@ class CodeMap:
             go = ~hit & (seen != self.FREE)
             again, at = again[go], at[go]
         return out, found
+
+
+class ArrayFile:
+    """Named arrays in one file, mapped read-only by every reader: readers
+    on one machine share its pages and hold no copy."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            size = int.from_bytes(f.read(8), "little")
+            self.head = json.loads(f.read(size))
+        self.data = np.memmap(path, np.uint8, "r")
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        kind, n, at = self.head[name]
+        return self.data[at:at + n * np.dtype(kind).itemsize].view(kind)
+
+    @staticmethod
+    def create(path: str, shapes: dict) -> dict:
+        """Arrays to fill, ``shapes``: name -> (dtype, length); the file is
+        complete when they are flushed."""
+        head, at = {}, 1 << 16
+        for name, (kind, n) in shapes.items():
+            head[name] = (np.dtype(kind).str, int(n), at)
+            at += -(-int(n) * np.dtype(kind).itemsize // 64) * 64
+        text = json.dumps(head).encode()
+        with open(path, "wb") as f:
+            f.write(len(text).to_bytes(8, "little") + text)
+            f.truncate(max(at, 1 << 16))
+        data = np.memmap(path, np.uint8, "r+")
+        return {name: data[a:a + n * np.dtype(kind).itemsize].view(kind) for name, (kind, n, a) in head.items()}
