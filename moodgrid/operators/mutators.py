@@ -14,15 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
-from .lookup import constant_table, materialise, sized_lookup, spread
+from .editmatch import best_cluster_similarity
+from .lookup import constant_table, sized_lookup, spread
 
 INF = float("inf")
 # Per-cluster mean scores are sums in engine-dependent order; they are
 # rounded to this many digits before the arg-max so that ties are ties.
 TIE_DIGITS = 12
-# Cluster words of one length are dealt over this many rows, so that no row
-# grows with a cluster.
-WORD_SHARDS = 16
 
 
 # --------------------------------------------------------------------------
@@ -80,29 +78,17 @@ def edit_cluster_scores(posts: DataFrame, word_clusters: DataFrame, text_col: st
     """(post_id, cluster, score) = mean over the post's tokens of the
     best edit similarity (T8) to any word of the cluster.
 
-    The similarity is computed once per *distinct* lower-cased token (R2).
-    Cluster words are gathered in rows by (cluster, length, shard); every
-    token visits every word length (a short array) and meets the words of
-    that length by an equi-join, whatever their number; the best
-    similarity of a row comes from in-row arithmetic."""
-    wc = materialise(word_clusters.select("cluster", F.col("word").alias("w")).distinct())
-    shard = F.pmod(F.xxhash64("w"), F.lit(WORD_SHARDS))
-    by_len = sized_lookup(wc.groupBy("cluster", F.length("w").alias("wl"), shard.alias("shard"))
-                          .agg(F.collect_list("w").alias("words")))
-    word_lengths = wc.agg(F.sort_array(F.collect_set(F.length("w")))).scalar()
-    occ = posts.select("post_id", F.explode(T.tokens(text_col)).alias("tok")) \
-        .select("post_id", F.lower("tok").alias("tok"))
-    vocab = spread(occ.select("tok").distinct(), "tok").select("tok", F.explode(word_lengths).alias("wl"))
-    pairs = vocab.join(by_len, "wl").select(
-        "tok", "cluster", F.array_max(F.transform("words", lambda w: T.edit_similarity(F.col("tok"), w))).alias("sim"))
-    # the per-token table is computed once and probed by every occurrence
-    # (broadcast while its size allows, so occurrences keep their post
-    # partitioning for the per-post sums)
-    best = sized_lookup(pairs.groupBy("tok", "cluster").agg(F.max("sim").alias("sim")))
-    # every token has a row per cluster, so the row count per (post,
-    # cluster) is the post's token count
-    agg = occ.join(best, "tok").groupBy("post_id", "cluster").agg(
-        F.sum("sim").alias("s"), F.count(F.lit(1)).alias("n_tok"))
+    Similarities are computed once per distinct token and carried as one
+    row per token; occurrences are folded per post and token before they
+    meet them."""
+    occ = posts.select("post_id", F.explode(T.lower_tokens(text_col)).alias("tok")) \
+        .groupBy("post_id", "tok").agg(F.count(F.lit(1)).alias("n"))
+    best = sized_lookup(best_cluster_similarity(spread(occ.select("tok").distinct(), "tok"), word_clusters))
+    # every token has an entry per cluster, so the entries of a cluster
+    # count the post's tokens
+    agg = occ.join(best, "tok").select("post_id", "n", F.explode("sims").alias("c")) \
+        .groupBy("post_id", F.col("c.cluster").alias("cluster")) \
+        .agg(F.sum(F.col("n") * F.col("c.sim")).alias("s"), F.sum("n").alias("n_tok"))
     return agg.select("post_id", "cluster", F.round(F.col("s") / F.col("n_tok"), TIE_DIGITS).alias("score"))
 
 

@@ -63,11 +63,11 @@ WORDS = """_tt AS (SELECT post_id, unnest(t) AS tok, unnest(g) AS tag, unnest(ra
           WHERE word IN (SELECT word FROM afinn) GROUP BY post_id, word)"""
 
 U9 = f"""{WORDS}
-, _u9 AS (SELECT k.post_id, c.cluster, round(sum(s.score) / max(len(string_split(p.text, ' '))), {TD}) AS score
+, _us AS (SELECT k.post_id, c.cluster, sum(s.score) AS s
    FROM _kw k JOIN similarity s ON s.word_a = k.word AND s.pos = k.pos AND s.scheme = 'path'
-   JOIN word_clusters c ON c.word = s.word_b
-   JOIN clean_posts p ON p.post_id = k.post_id
-   GROUP BY k.post_id, c.cluster)"""
+   JOIN word_clusters c ON c.word = s.word_b GROUP BY k.post_id, c.cluster)
+, _u9 AS (SELECT u.post_id, u.cluster, round(u.s / len(string_split(p.text, ' ')), {TD}) AS score
+   FROM _us u JOIN clean_posts p ON p.post_id = u.post_id)"""
 
 
 def _margins_weighted_sql(delta_cte: str) -> str:

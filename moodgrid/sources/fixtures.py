@@ -122,22 +122,28 @@ def afinn_with_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.where(F.col("word").rlike("^[a-z]{2,8}$") & (F.col("df") >= 10))
 
 
+# Words of a fixture cluster: the length of a related-word list that the
+# list builder (S18) keeps by default.
+CLUSTER_WORDS = 100
+
+
 def word_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(cluster, word) — 6 clusters of the 20 most frequent words."""
+    """(cluster, word) — 6 clusters of their ``CLUSTER_WORDS`` most
+    frequent words."""
     w = afinn_with_df(spark, sf_dir).withColumn(
         "cluster", F.concat(F.lit("c"), (F.ascii("word") % 6).cast("string")))
     rk = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("df"), "word"))
-    return w.withColumn("rk", rk).where(F.col("rk") <= 20).select("cluster", "word")
+    return w.withColumn("rk", rk).where(F.col("rk") <= CLUSTER_WORDS).select("cluster", "word")
 
 
 # Sentiment of the fixture clusters (c0, c1 positive; c2, c3 negative;
-# c4, c5 neutral), each of size 20.
+# c4, c5 neutral), each of size CLUSTER_WORDS.
 CLUSTER_SENTIMENT = [("c0", "positive"), ("c1", "positive"), ("c2", "negative"),
                      ("c3", "negative"), ("c4", "neutral"), ("c5", "neutral")]
 
 
 def cluster_sentiment(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c, s, 20) for c, s in CLUSTER_SENTIMENT],
+    return spark.createDataFrame([(c, s, CLUSTER_WORDS) for c, s in CLUSTER_SENTIMENT],
                                  "cluster string, sentiment string, size int")
 
 

@@ -9,7 +9,7 @@ DuckDB are 1-based; Spark arrays in the twins are 0-based.
 from __future__ import annotations
 
 from ..functions import constants as C
-from .fixtures import CLUSTER_SENTIMENT, INJECT_RULES, LENGTH_TAGS
+from .fixtures import CLUSTER_SENTIMENT, CLUSTER_WORDS, INJECT_RULES, LENGTH_TAGS
 
 
 def _q(s: str) -> str:
@@ -84,9 +84,9 @@ FROM afinn_df""", ["afinn_df"]),
     "word_clusters": ("""SELECT cluster, word FROM (
   SELECT 'c' || CAST(ascii(word) % 6 AS VARCHAR) AS cluster, word,
          row_number() OVER (PARTITION BY 'c' || CAST(ascii(word) % 6 AS VARCHAR) ORDER BY df DESC, word) AS rk
-  FROM afinn_df) WHERE rk <= 20""", ["afinn_df"]),
+  FROM afinn_df) WHERE rk <= """ + str(CLUSTER_WORDS), ["afinn_df"]),
     "cluster_sentiment": ("SELECT * FROM (VALUES " + ", ".join(
-        f"({_q(c)}, {_q(s)}, 20)" for c, s in CLUSTER_SENTIMENT) +
+        f"({_q(c)}, {_q(s)}, {CLUSTER_WORDS})" for c, s in CLUSTER_SENTIMENT) +
         ") AS t(cluster, sentiment, size)", []),
     "lemma": ("""SELECT word AS form, pos, substr(word, 1, length(word) - 1) AS lemma
 FROM afinn, (VALUES ('n'), ('v')) AS p(pos) WHERE ends_with(word, 's')""", ["afinn"]),
@@ -162,5 +162,6 @@ def sql_with(body: str, *names: str) -> str:
         visit(n)
     if not order:
         return body
-    ctes = ",\n".join(f"{n} AS (\n{FIXTURES[n][0]}\n)" for n in order)
+    # evaluated once each, whatever the number of uses
+    ctes = ",\n".join(f"{n} AS MATERIALIZED (\n{FIXTURES[n][0]}\n)" for n in order)
     return f"WITH {ctes}\n{body}"
