@@ -117,15 +117,24 @@ def read_word_weights(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_word_cluster_dir(spark: SparkSession, path: str) -> DataFrame:
-    """One file per cluster, one word per line -> (cluster, word);
-    cluster = file name without extension."""
-    df = spark.read.text(path)
+    """One file per cluster, or one folder of part files as Spark writes
+    them, one word per line -> (cluster, word); the cluster is the file's or
+    folder's name."""
+    df = spark.read.option("recursiveFileLookup", "true").text(path)
     return df.select(cluster_name(F.input_file_name()).alias("cluster"), F.trim("value").alias("word"))
 
 
+def write_word_clusters(clusters: DataFrame, path: str) -> None:
+    """(cluster, word) as one folder of part files per cluster."""
+    clusters.select("cluster", "word").write.mode("errorifexists").partitionBy("cluster").text(path)
+
+
 def cluster_name(file: Column) -> Column:
-    """File name without folders and extension."""
-    return F.regexp_extract(file, r"([^/]+?)(\.[^./]*)?$", 1)
+    """File name without folders and extension; of a part file the name of
+    its folder, without the column that a partitioned writer puts first."""
+    own = F.regexp_extract(file, r"([^/]+?)(\.[^./]*)?$", 1)
+    folder = F.regexp_extract(file, r"(?:[^/=]+=)?([^/]+?)(\.[^./]*)?/[^/]*$", 1)
+    return F.when(own.startswith("part-"), folder).otherwise(own)
 
 
 def read_cluster_sentiment(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from ..functions import text as T
 from ..operators import etl as E
 from ..operators import mutators as M
@@ -197,25 +198,35 @@ def s7_word_weight_file(spark, sf_dir):
 
 @register("s8_word_cluster_files", sql_with("SELECT cluster, word FROM word_clusters", "word_clusters"))
 def s8_word_cluster_files(spark, sf_dir):
-    """One file per cluster; the cluster is the file's name."""
+    """Clusters written as a folder each and read by their names."""
     path = _folder(spark, "clusters")
-    wc = X.word_clusters(spark, sf_dir)
-    for name, _ in X.CLUSTER_SENTIMENT:  # a fixed, short list of clusters
-        wc.where(F.col("cluster") == name).select("word").coalesce(1).write.text(f"{path}/{name}.d")
-    parts = [spark.read.text(f"{path}/{name}.d").select(F.lit(f"{name}.txt").alias("file"), F.trim("value").alias("word"))
-             for name, _ in X.CLUSTER_SENTIMENT]
-    from functools import reduce
-    rows = reduce(lambda a, b: a.unionByName(b), parts)
-    return rows.select(E.cluster_name(F.col("file")).alias("cluster"), "word")
+    E.write_word_clusters(X.word_clusters(spark, sf_dir), path)
+    return E.read_word_cluster_dir(spark, path)
 
 
-@register("s9_cluster_sentiment_file", sql_with("SELECT cluster, sentiment FROM cluster_sentiment", "cluster_sentiment"))
+@register("s9_cluster_sentiment_file", sql_with("SELECT cluster::VARCHAR AS cluster, sentiment FROM auto_cluster_index",
+                                                "auto_cluster_index"))
 def s9_cluster_sentiment_file(spark, sf_dir):
+    """The sentiments of the vectors' clusters as lines, read back."""
     path = _folder(spark, "sentiment")
-    X.cluster_sentiment(spark).select(F.concat_ws(" ", "cluster", "sentiment").alias("value")).write.text(path)
+    X.auto_cluster_index(spark, sf_dir).select(F.concat_ws(" ", F.col("cluster").cast("string"), "sentiment").alias("value")) \
+        .write.text(path)
     return E.read_cluster_sentiment(spark, path)
 
 
+@register("s10_cluster_index_file", sql_with("""
+SELECT CAST(row_number() OVER (ORDER BY cluster) - 1 AS INTEGER) AS cluster, sentiment,
+  CASE sentiment WHEN 'positive' THEN 1 WHEN 'negative' THEN 2 WHEN 'neutral' THEN 4 END AS flag, size,
+  round(size::DOUBLE / sum(size) OVER (), 9) AS share FROM auto_cluster_index""", "auto_cluster_index"))
+def s10_cluster_index_file(spark, sf_dir):
+    """``sentiment size`` lines in the order of the clusters; the line
+    number is the cluster's id."""
+    path = _folder(spark, "index")
+    index = X.auto_cluster_index(spark, sf_dir)  # a line per cluster
+    index.orderBy("cluster").coalesce(1).select(F.concat_ws(" ", "sentiment", F.col("size").cast("string")).alias("value")).write.text(path)
+    return E.read_cluster_index(spark, path).withColumn("share", F.round("share", 9))
+
+
 @register("s11_s17_cluster_labels", """
 SELECT label AS cluster, count(*) AS n_posts, sum(vec_id) AS ids FROM embeddings GROUP BY label""")
 def s11_s17_cluster_labels(spark, sf_dir):
@@ -247,20 +258,20 @@ def s13_word_set_file(spark, sf_dir):
     return E.read_word_set(spark, path)
 
 
-@register("s16_entity_rewrite", sql_with("""
-SELECT post_id, length(text) AS n_chars FROM clean_posts""", "clean_posts"))
+@register("s16_entity_rewrite", sql_with("SELECT post_id, text FROM clean_posts", "clean_posts"))
 def s16_entity_rewrite(spark, sf_dir):
-    """A copy with entities decoded, read back: encoding first and
-    decoding by the rewrite gives the text again."""
+    """A copy with entities decoded, read back: encoding all listed
+    entities first and decoding by the rewrite gives the texts again."""
     src, dst = _folder(spark, "encoded"), _folder(spark, "decoded")
     p = X.clean_posts(spark, sf_dir).select("post_id", "text")
-    coded = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
-                      F.lit(">"), F.lit("&gt;"))
+    coded = F.replace("text", F.lit("&"), F.lit("&amp;"))
+    for entity, char in C.HTML_ENTITIES:
+        if char != "&":
+            coded = F.replace(coded, F.lit(char), F.lit(entity))
     p.select(F.concat_ws("\t", F.col("post_id").cast("string"), coded).alias("value")).write.text(src)
     E.rewrite_html(spark, src, dst)
     f = F.split("value", "\t", 2)
-    return spark.read.text(dst).select(F.get(f, 0).cast("long").alias("post_id"),
-                                       F.length(F.get(f, 1)).cast("long").alias("n_chars"))
+    return spark.read.text(dst).select(F.get(f, 0).cast("long").alias("post_id"), F.get(f, 1).alias("text"))
 
 
 @register("s19_similarity_output", sql_with("""
