@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
+from ..operators.lookup import materialise
 from .tables import table
 
 # Token rewrite rules of the injected-post fixture: (modulus, kind).
@@ -109,17 +110,23 @@ def doc_freq(df: DataFrame, terms: Column, name: str = "term") -> DataFrame:
 
 def afinn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted word list (word, weight)."""
-    p = raw_posts(spark, sf_dir)
-    df = doc_freq(p, T.lower_tokens("text"), "word")
-    return (df.where(F.col("word").rlike("^[a-z]{2,8}$") & (F.col("df") >= 10))
-            .select("word",
-                    ((F.length("word") * 7 + F.ascii("word")) % 11 - 5).cast("int").alias("weight")))
+    return afinn_with_df(spark, sf_dir).select(
+        "word", ((F.length("word") * 7 + F.ascii("word")) % 11 - 5).cast("int").alias("weight"))
+
+
+_WORD_LISTS: dict = {}
 
 
 def afinn_with_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = raw_posts(spark, sf_dir)
-    df = doc_freq(p, T.lower_tokens("text"), "word")
-    return df.where(F.col("word").rlike("^[a-z]{2,8}$") & (F.col("df") >= 10))
+    """Words of C5 with their document frequencies.  The word list, the
+    clusters, lemmas and similarities all come from it, so it is counted
+    and checkpointed once per session and folder."""
+    held = _WORD_LISTS.get(sf_dir)
+    if held is None or held[0] is not spark:
+        df = doc_freq(raw_posts(spark, sf_dir), T.lower_tokens("text"), "word")
+        held = spark, materialise(df.where(F.col("word").rlike("^[a-z]{2,8}$") & (F.col("df") >= 10)))
+        _WORD_LISTS[sf_dir] = held
+    return held[1]
 
 
 # Words of a fixture cluster: the length of a related-word list that the
