@@ -154,3 +154,15 @@ SIMILARITY_SCHEMES = [
 
 # File batch size.
 BATCH_SIZE = 10000
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES — suffix detachment rules of the lemmatiser, in order, per
+# part of speech: (suffix, ending put in its place); adverbs have none.
+# ---------------------------------------------------------------------------
+DETACHMENT_RULES = {
+    WN_NOUN: [("s", ""), ("ses", "s"), ("xes", "x"), ("zes", "z"), ("ches", "ch"),
+              ("shes", "sh"), ("men", "man"), ("ies", "y")],
+    WN_VERB: [("s", ""), ("ies", "y"), ("es", "e"), ("es", ""), ("ed", "e"),
+              ("ed", ""), ("ing", "e"), ("ing", "")],
+    WN_ADJ: [("er", ""), ("est", ""), ("er", "e"), ("est", "e")],
+}

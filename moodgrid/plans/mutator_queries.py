@@ -50,26 +50,36 @@ U8 = f"""{J5}
    FROM clean_posts p LEFT JOIN _win w ON w.post_id = p.post_id
    LEFT JOIN cluster_sentiment s ON s.cluster = w.cluster)"""
 
-WORDS = """_tt AS (SELECT post_id, unnest(t) AS tok, unnest(g) AS tag, unnest(range(0, len(t))) AS i
+_TAGGED = """_tt AS (SELECT post_id, unnest(t) AS tok, unnest(g) AS tag, unnest(range(0, len(t))) AS i
   FROM (SELECT post_id, string_split(text, ' ') AS t,
                list_filter(string_split(tags, ''), lambda c, k: k % 2 = 1) AS g FROM clean_posts))
 , _wp AS (SELECT post_id, i, tok,
      CASE WHEN starts_with(tag, 'A') THEN 'a' WHEN starts_with(tag, 'V') THEN 'v'
           WHEN tag IN ('N', 'S', 'Z', 'L', 'M') THEN 'n' WHEN starts_with(tag, 'R') THEN 'r' ELSE '' END AS pos
-   FROM _tt WHERE tok IS NOT NULL)
+   FROM _tt WHERE tok IS NOT NULL)"""
+
+
+def words_sql(lemma: str = "lemma", words: str = "afinn") -> str:
+    return f"""{_TAGGED}
 , _lm AS (SELECT w.post_id, w.i, w.pos, coalesce(l.lemma, w.tok) AS word
-   FROM _wp w LEFT JOIN lemma l ON l.form = w.tok AND l.pos = w.pos WHERE w.pos <> '')
+   FROM _wp w LEFT JOIN {lemma} l ON l.form = w.tok AND l.pos = w.pos WHERE w.pos <> '')
 , _kw AS (SELECT post_id, word, arg_max(pos, i) AS pos FROM _lm
-          WHERE word IN (SELECT word FROM afinn) GROUP BY post_id, word)"""
+          WHERE word IN (SELECT word FROM {words}) GROUP BY post_id, word)"""
 
-U9 = f"""{WORDS}
-, _us AS (SELECT k.post_id, c.cluster, sum(s.score) AS s
-   FROM _kw k JOIN similarity s ON s.word_a = k.word AND s.pos = k.pos AND s.scheme = 'path'
+
+def u9_scores_sql(similarity: str = "similarity", scheme: str = "path") -> str:
+    return f"""_us AS (SELECT k.post_id, c.cluster, sum(s.score) AS s
+   FROM _kw k JOIN {similarity} s ON s.word_a = k.word AND s.pos = k.pos AND s.scheme = '{scheme}'
    JOIN word_clusters c ON c.word = s.word_b GROUP BY k.post_id, c.cluster)
 , _u9 AS (SELECT u.post_id, u.cluster, round(u.s / len(string_split(p.text, ' ')), {TD}) AS score
    FROM _us u JOIN clean_posts p ON p.post_id = u.post_id)"""
 
 
+WORDS = words_sql()
+U9 = f"""{WORDS}
+, {u9_scores_sql()}"""
+
+
 def _margins_weighted_sql(delta_cte: str) -> str:
     return f"""
 SELECT m.post_id, m.label, round(m.margin + coalesce(d.delta, 0), 6) AS margin

@@ -36,4 +36,4 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{m}")
 
 
-MODULES = ["text_queries", "feature_queries", "lexicon_queries", "tfidf_queries", "metric_queries", "mutator_queries", "selection_queries", "etl_queries", "distance_queries", "learn_queries"]
+MODULES = ["text_queries", "feature_queries", "lexicon_queries", "tfidf_queries", "metric_queries", "mutator_queries", "taxonomy_queries", "selection_queries", "etl_queries", "distance_queries", "learn_queries"]

@@ -306,3 +306,50 @@ def auto_cluster_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 AUTO_SENTIMENTS = ["positive", "negative", "neutral", "unknown"]
+
+# --------------------------------------------------------------------------
+# Dictionary files (synsets with pointers) and exceptions
+# --------------------------------------------------------------------------
+
+def _prefix_code(prefix: Column) -> Column:
+    """A number per prefix of a word-list word: base 27, a = 1."""
+    return F.aggregate(F.split(prefix, ""), F.lit(0).cast("long"), lambda a, c: a * 27 + F.ascii(c) - 96)
+
+
+def synset_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pos, value), lines of ``data.*`` files over the word list.
+
+    Nouns: a synset per prefix p of a word; verbs: of a word of even length.
+    Its words are p and, from three letters on, p without its last letter;
+    its hypernyms p without its last letter (``@``) and, where that is a
+    synset, p without its first two (``@i``).  Every part of speech has a
+    comment line."""
+    w = afinn_with_df(spark, sf_dir).select("word")
+    prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring("word", F.lit(1), i)))
+    pos = F.explode(F.when(F.length("word") % 2 == 0, F.array(F.lit(C.WN_NOUN), F.lit(C.WN_VERB)))
+                    .otherwise(F.array(F.lit(C.WN_NOUN))))
+    nodes = materialise(w.select("word", pos.alias("pos")).select("pos", prefixes.alias("p")).distinct())
+    n = F.length("p")
+    tail = nodes.select("pos", F.col("p").alias("tail"))
+    joined = nodes.withColumn("tail", F.when(n >= 3, F.substring("p", F.lit(3), n))) \
+        .join(tail.withColumn("known", F.lit(True)), ["pos", "tail"], "left")
+    code = lambda c: F.format_string("%08d", _prefix_code(c))
+    pointer = lambda symbol, c: F.format_string("%s %s %s 0000", F.lit(symbol), code(c), F.col("pos"))
+    shorter = F.substring("p", F.lit(1), n - 1)
+    up = F.filter(F.array(F.when(n >= 2, pointer("@", shorter)), F.when(F.col("known"), pointer("@i", F.col("tail")))),
+                  lambda x: x.isNotNull())
+    words = F.when(n >= 3, F.array(F.col("p"), shorter)).otherwise(F.array(F.col("p")))
+    line = F.concat_ws(" ", code(F.col("p")), F.lit("03"), F.col("pos"), F.format_string("%02x", F.size(words)),
+                       F.array_join(F.transform(words, lambda x: F.concat(x, F.lit(" 0"))), " "),
+                       F.format_string("%03d", F.size(up)), up, F.lit("| derived"))
+    comments = spark.createDataFrame([(C.WN_NOUN,), (C.WN_VERB,)], "pos string").select(
+        "pos", F.lit("  1 a comment line of the file").alias("value"))
+    return joined.select("pos", line.alias("value")).unionByName(comments)
+
+
+def lemma_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C14: (form, pos, base) of nouns of five letters and more whose first
+    letter's code is a multiple of 7: all but the last two letters."""
+    w = afinn_with_df(spark, sf_dir).where((F.length("word") >= 5) & (F.ascii("word") % 7 == 0))
+    return w.select(F.col("word").alias("form"), F.lit(C.WN_NOUN).alias("pos"),
+                    F.substring("word", F.lit(1), F.length("word") - 2).alias("base"))

@@ -144,6 +144,35 @@ FROM word_clusters""", ["word_clusters"]),
   ['positive', 'negative', 'neutral', 'unknown'][cluster % 4 + 1] AS sentiment, size
 FROM (SELECT label AS cluster, count(*) AS size FROM embeddings GROUP BY label
       UNION ALL SELECT max(label) + 1, 1 FROM embeddings)""", []),
+    "tax_nodes": ("""SELECT DISTINCT pos, substr(word, 1, i) AS p
+FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM afinn_df),
+     (VALUES ('n', 1), ('v', 2)) AS k(pos, m) WHERE length(word) % m = 0""", ["afinn_df"]),
+    "tax_edges": ("""SELECT pos, p AS child, substr(p, 1, length(p) - 1) AS parent FROM tax_nodes
+UNION SELECT pos, p, substr(p, 3) FROM tax_nodes
+WHERE length(p) >= 3 AND (pos, substr(p, 3)) IN (SELECT (pos, p) FROM tax_nodes)""", ["tax_nodes"]),
+    "tax_senses": ("""SELECT p AS word, pos, p AS synset FROM tax_nodes
+UNION SELECT substr(p, 1, length(p) - 1), pos, p FROM tax_nodes WHERE length(p) >= 3""", ["tax_nodes"]),
+    # the top is the empty prefix
+    "tax_walks(pos, synset, ancestor, d)": ("""SELECT pos, p, p, 0 FROM tax_nodes
+UNION SELECT w.pos, w.synset, e.parent, w.d + 1
+FROM "tax_walks" w JOIN tax_edges e ON e.pos = w.pos AND e.child = w.ancestor""", ["tax_nodes", "tax_edges"]),
+    "tax_up": ("""SELECT pos, synset, ancestor, min(d) AS d FROM tax_walks GROUP BY pos, synset, ancestor""",
+               ["tax_walks(pos, synset, ancestor, d)"]),
+    "tax_pairs": ("""SELECT a.word AS word_a, a.pos, b.word AS word_b, min(a.d + b.d + 1) AS l,
+  max(2.0::DOUBLE * h.depth / (a.d + b.d + 2 * h.depth)) AS wup
+FROM (SELECT s.word, s.pos, u.ancestor, u.d FROM tax_senses s JOIN tax_up u ON u.pos = s.pos AND u.synset = s.synset
+      WHERE s.word IN (SELECT word FROM afinn_df)) a
+JOIN (SELECT s.word, s.pos, u.ancestor, u.d FROM tax_senses s JOIN tax_up u ON u.pos = s.pos AND u.synset = s.synset
+      WHERE s.word IN (SELECT word FROM word_clusters)) b ON b.pos = a.pos AND b.ancestor = a.ancestor
+JOIN (SELECT pos, synset AS ancestor, d + 1 AS depth FROM tax_up WHERE ancestor = ''
+      UNION ALL SELECT DISTINCT pos, '', 1 FROM tax_nodes) h ON h.pos = a.pos AND h.ancestor = a.ancestor
+GROUP BY a.word, a.pos, b.word""", ["tax_senses", "tax_up", "word_clusters", "afinn_df"]),
+    "tax_similarity": ("""SELECT word_a, pos, word_b, unnest(['path', 'wup', 'lch']) AS scheme,
+  unnest([round(1.0::DOUBLE / l, 6), round(wup, 6), round(ln(2.0::DOUBLE * most / l), 6)]) AS score
+FROM tax_pairs JOIN (SELECT pos, max(d) + 1 AS most FROM tax_up WHERE ancestor = '' GROUP BY pos) USING (pos)""",
+                       ["tax_pairs", "tax_up"]),
+    "tax_exceptions": ("""SELECT word AS form, 'n' AS pos, substr(word, 1, length(word) - 2) AS base
+FROM afinn_df WHERE length(word) >= 5 AND ascii(word) % 7 = 0""", ["afinn_df"]),
 }
 
 
