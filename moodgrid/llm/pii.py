@@ -8,17 +8,24 @@ A surrogate depends on a secret key and the entity alone, so an entity
 has the same surrogate everywhere.  Addresses and numbers are enciphered
 within their own shape (letters stay letters of the same case and script,
 digits digits, separators stay; card numbers stay valid, octets stay
-octets): a bijection, so different entities stay different.  Names come
-from lists by script and are lengthened where the lists run out; they can
-collide.  Given names are keyed by the name alone and replaced by names of
-either gender, so "Dr Anna", "Mrs Anna" and "Anna" agree.  Initials are
-shifted letters and may coincide with others.
+octets): a bijection, so different entities stay different.  Phones are
+keyed by their digits, so one number has one surrogate in all its formats
+(with and without a country code they count as two).  Names come from
+lists by script and gender, lengthened by syllables; they can collide.
+The gender of a given name is that of most forms of address it follows in
+the whole corpus (ties, "Dr" and no form of address: neutral), so "Dr
+Anna", "Mrs Anna" and "Anna" agree and match.  Initials are shifted
+letters and may coincide with others.
 
 All distinct entities of the corpus are therefore checked: an entity whose
 surrogate equals itself or another entity's surrogate is tried again with
-the next attempt until none is left.  Only entities with a later attempt
-need a table; it is broadcast under a row bound and joined to the texts
-that hold such entities beyond it.
+the next attempt, which makes names longer, until none is left.  Only
+entities with a gender or a later attempt need a table; it is broadcast
+under a row bound and joined to the texts that hold such entities beyond it.
+
+A given name that stands alone, without form of address or surname, is not
+replaced where the same text uses the word in lower case, nor at the start
+of a sentence if it is one of ``PLAIN_WORDS``.
 
 Defined cases: null texts stay null, texts without entities stay as they
 are; repeated rows and copies get equal replacements; overlapping matches
@@ -35,13 +42,14 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators.lookup import materialise
 
 KEY = b"replace this key outside tests"
-MAX_BROADCAST = 100_000  # entities with a later attempt
-ROUNDS = 10
+MAX_BROADCAST = 100_000  # entities with a gender or a later attempt
+# Names grow with every attempt and always end; numbers of one shape end
+# unless (nearly) all numbers of that shape are entities.
+FULL_SHAPE = 200
 HOLDER = "__surrogates"
 
 # A capital, a word of a name (O'Neil), words joined by hyphens, an initial.
@@ -78,7 +86,12 @@ ALPHABETS = (
 )
 _ALPHABET_OF = {ch: (a, i) for a in ALPHABETS for i, ch in enumerate(a)}
 
-# Detection asks for names of either gender (n) only.
+MALE = {"Mr", "Herr", "Monsieur", "Señor", "Sr"}
+FEMALE = {"Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra"}
+# Given names that start sentences as plain words.
+PLAIN_WORDS = frozenset("""april art august bill chase christian dawn dean drew faith frank gene grace grant harmony
+hope jack jean joy june mark may miles pat pearl ray rich rob rose ruby sue summer will""".split())
+
 GIVEN = {
     ("latin", "m"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leo Martin Nils Oscar Paul Ralf Simon Tom Viktor".split(),
     ("latin", "f"): "Anna Berta Clara Diana Elena Flora Greta Helena Ida Julia Karin Lena Maria Nora Olga Paula Rosa Sofia Tina Vera".split(),
@@ -95,16 +108,17 @@ SYLLABLES = {
     "cyrillic": "ба бе во да де го ка ко ла ле ма ми на не но па ра ро са та то".split(),
     "greek": "βα γα δε κα κο λα λε μα με να νο πα ρα ρο σα τα το".split(),
 }
-ENDING = {"latin": {"m": "n", "f": "a", "n": "r", "s": "ner"}, "cyrillic": {"m": "н", "f": "а", "n": "р", "s": "ов"},
-          "greek": {"m": "ς", "f": "α", "n": "ι", "s": "ίδης"}}
+ENDING = {"latin": "ner", "cyrillic": "ов", "greek": "ίδης"}  # of surnames
 
 
 class Entity(NamedTuple):
-    """``parts`` are (type, value, start, end) pieces replaced on their own."""
+    """``parts`` are (type, value, start, end) pieces replaced on their own;
+    ``gender`` is what the form of address tells (m, f or n)."""
     kind: str
     start: int
     end: int
     parts: tuple
+    gender: str = "n"
 
 
 def luhn_ok(digits: str) -> bool:
@@ -131,6 +145,11 @@ def _part(kind: str, word: str, at: int) -> tuple:
     return kind + more, value, at, at + len(word)
 
 
+def _gender(title: str) -> str:
+    words = set(re.split(r"[ .]+", title))
+    return "n" if bool(words & MALE) == bool(words & FEMALE) else "m" if words & MALE else "f"
+
+
 def _names(m: re.Match) -> Entity:
     """A form of address with a name; the last word and those it is joined
     to by hyphens are the surname."""
@@ -141,12 +160,19 @@ def _names(m: re.Match) -> Entity:
         last -= 1
     return Entity("name", m.start(), m.end(), tuple(
         _part("initial" if p["initial"] else "surname" if i >= last else "given", p.group(), p.start())
-        for i, p in enumerate(pieces)))
+        for i, p in enumerate(pieces)), _gender(text[m.start():at]))
+
+
+def _plain(text: str, m: re.Match, words: set) -> bool:
+    """Whether a word that stands alone may be no name."""
+    w = _folded(m.group())
+    return w in words or w in PLAIN_WORDS and not text[:m.start()].rstrip(" \n\t\"'(“«¿¡").rpartition("\n")[2][-1:].strip(".!?:")
 
 
 def _mentions(text: str, named: list[Entity]) -> list[Entity]:
     """Mentions without a form of address of the words of ``named``; words
     side by side are one mention, the last a surname if it can be one."""
+    words = set(re.findall(r"[^\W\d_]+", text))
     known = {k: {p[1] for e in named for p in e.parts if p[0].startswith(k)} for k in ("given", "surname")}
     runs = []
     for m in _MENTION.finditer(text):
@@ -158,6 +184,8 @@ def _mentions(text: str, named: list[Entity]) -> list[Entity]:
                 runs.append(pieces)
     out = []
     for pieces in runs:
+        if len(pieces) == 1 and _folded(pieces[0].group()) not in known["surname"] and _plain(text, pieces[0], words):
+            continue
         parts = []
         for i, p in enumerate(pieces):
             first, second = ("surname", "given") if i == len(pieces) - 1 else ("given", "surname")
@@ -183,6 +211,7 @@ def find_entities(text: str | None) -> list[Entity]:
             digits = re.sub("[ -]", "", value)
             if not (_ISSUERS.match(digits) and luhn_ok(digits)):
                 continue
+        value = _dialled(value) if kind == "phone" else value
         found.append(Entity(kind, m.start(), m.end(), ((kind, value, m.start(), m.end()),)))
     named = [_names(m) for m in _NAME.finditer(text)]
     found += named + (_mentions(text, named) if named else [])
@@ -233,16 +262,36 @@ def _card(key: bytes, tweak: str, value: str) -> str:
     return next(body + d for d in "0123456789" if luhn_ok(re.sub("[ -]", "", body + d)))
 
 
-def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
-    """Replacement of one entity part."""
+def _dialled(phone: str) -> str:
+    """The digits of a phone number, with + before a country code."""
+    digits = re.sub(r"\D", "", phone.replace("(0)", ""))
+    return "+" + digits if phone.startswith("+") else "+" + digits[2:] if phone.startswith("00") else digits
+
+
+def _poured(number: str, shape: str) -> str:
+    """The digits of ``number`` in the places of the last digits of ``shape``."""
+    digits, out = [c for c in number if c.isdigit()], list(shape)
+    trunk = shape.find("(0)") + 1
+    for i in reversed(range(len(out))):
+        if digits and out[i].isdigit() and not (trunk and i == trunk):
+            out[i] = digits.pop()
+    return "".join(out)
+
+
+def _phone(key: bytes, tweak: str, number: str) -> str:
+    """The country code, or all but the last nine digits, stay."""
+    return _shaped(key, tweak, number, 4 if number.startswith("+") else max(0, len(number) - 9))
+
+
+def surrogate(key: bytes, kind: str, value: str, attempt: int = 0, gender: str | None = None) -> str:
+    """Replacement of one entity part; ``gender`` of a given name, if known."""
     kind, *more = kind.split(":")
     tweak = f"{kind}/{attempt}"
     if kind == "email":
         end = value.rindex(".")
         return _shaped(key, tweak, value[:end]) + value[end:]
     if kind == "phone":
-        code = re.match(r"\+\d{1,3}|00[1-9]\d?", value)
-        return _shaped(key, tweak, value, code.end() if code else len(value) - 9 if value.isdigit() else 0)
+        return _poured(_phone(key, tweak, _dialled(value)), value)
     if kind == "card":
         return _card(key, tweak, value)
     if kind == "ip":
@@ -252,17 +301,15 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     if kind == "initial":
         letters, i = _ALPHABET_OF.get(value, ("yx", 0))
         return letters[(i + 1 + _pad(key, kind, letters) % (len(letters) - 1)) % len(letters)]
-    script, gender = more[0], (more + ["s"])[1]
+    script = more[0]
+    gender = (gender or more[1]) if kind == "given" else "s"
     pad = _pad(key, tweak, script, gender, value.lower())
-    pool = GIVEN.get((script, gender), [])
-    if pool and attempt == 0:
-        name = pool[pad % len(pool)]
-    else:
-        name = ""
-        for _ in range(2 + min(attempt, 4)):
-            name += SYLLABLES[script][pad % len(SYLLABLES[script])]
-            pad //= len(SYLLABLES[script])
-        name = (name + ENDING[script][gender]).capitalize()
+    pool = GIVEN.get((script, gender), [""])
+    name, pad = pool[pad % len(pool)], pad // len(pool)
+    for _ in range((1 if kind == "given" else 2) + attempt):
+        name += SYLLABLES[script][pad % len(SYLLABLES[script])]
+        pad //= len(SYLLABLES[script])
+    name = (name if kind == "given" else name + ENDING[script]).capitalize()
     return name.upper() if value.isupper() else name
 
 
@@ -271,7 +318,9 @@ def replace_entities(text: str, attempts, key: bytes = KEY) -> tuple[str, list[s
     out, at, spans = [], 0, []
     for e in find_entities(text):
         for kind, value, start, end in e.parts:
-            new = surrogate(key, kind, value, attempts.get((kind, value), 0))
+            new = surrogate(key, kind, value, *attempts.get((kind, value), (0, None)))
+            if kind == "phone":
+                new = _poured(new, text[start:end])
             upper = e.kind == "name" and text[start:end].isupper()
             out += [text[at:start], new.upper() if upper else new]
             at = end
@@ -288,37 +337,55 @@ def slices(batches, rows: int = 256):
 
 
 def entity_parts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct (kind, value) of all texts but initials, which have one
-    attempt; tasks fold their batches first."""
+    """Distinct (kind, value, gender) of all texts but initials, which have
+    one attempt; tasks fold their batches first.  The gender is m or f where
+    more forms of address of all rows say so than the opposite, else null."""
     def task(batches):
         for batch in slices(batches):
-            seen = {p[:2] for t in batch.column(0).to_pylist() for e in find_entities(t) for p in e.parts if p[0] != "initial"}
-            yield pa.record_batch({"kind": pa.array([p[0] for p in seen], pa.string()),
-                                   "value": pa.array([p[1] for p in seen], pa.string())})
-    return docs.select(text).mapInArrow(task, "kind string, value string").distinct()
+            votes = {}
+            for t in batch.column(0).to_pylist():
+                for e in find_entities(t):
+                    for p in e.parts:
+                        if p[0] != "initial":
+                            votes[p[:2]] = votes.get(p[:2], 0) + (p[0].startswith("given") and {"m": 1, "f": -1}.get(e.gender, 0))
+            yield pa.record_batch({"kind": pa.array([k for k, _ in votes], pa.string()),
+                                   "value": pa.array([v for _, v in votes], pa.string()),
+                                   "votes": pa.array(list(votes.values()), pa.int64())})
+    n = F.sum("votes")
+    return docs.select(text).mapInArrow(task, "kind string, value string, votes bigint").groupBy("kind", "value").agg(
+        F.when(n > 0, "m").when(n < 0, "f").alias("gender"))
 
 
 def later_attempts(parts: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, value, attempt) of the entities whose first surrogate equals
-    the entity or another one's surrogate.  Of those that share a surrogate
-    the lowest attempt, then the first value keeps it."""
-    schema = "kind string, value string, attempt int, surrogate string"
+    """(kind, value, attempt, gender) of the entities that have a gender or
+    whose first surrogate equals the entity or another one's surrogate.  Of
+    those that share a surrogate the lowest attempt, then the first value
+    keeps it, so what is settled stays; only the others are tried again.
+
+    ``parts`` are distinct (kind, value), with a ``gender`` or without."""
+    schema = "kind string, value string, gender string, attempt int, surrogate string"
 
     def task(batches):
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(3)]
-            yield pa.record_batch({"kind": batch.column(0), "value": batch.column(1), "attempt": batch.column(2),
-                                   "surrogate": pa.array([surrogate(key, *x) for x in zip(*cols)], pa.string())})
-
-    now = parts.select("kind", "value", F.lit(0).cast("int").alias("attempt"))
-    rank = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("attempt", "value"))
-    for _ in range(ROUNDS):
-        tried = materialise(now.mapInArrow(task, schema).withColumn("rank", rank))
-        bad = (F.col("rank") > 1) | (F.lower("surrogate") == F.lower("value"))
-        if tried.where(bad).isEmpty():
-            return tried.where("attempt > 0").select("kind", "value", "attempt")
-        now = tried.select("kind", "value", (F.col("attempt") + bad.cast("int")).alias("attempt"))
-    raise RuntimeError(f"entities still collide after {ROUNDS} attempts")
+            kind, value, gender, attempt = (batch.column(i).to_pylist() for i in range(4))
+            new = [surrogate(key, *x) for x in zip(kind, value, attempt, gender)]
+            yield pa.record_batch({**{c: batch.column(c) for c in ("kind", "value", "gender", "attempt")},
+                                   "surrogate": pa.array(new, pa.string())})
+
+    gender = F.col("gender") if "gender" in parts.columns else F.lit(None).cast("string")
+    now = parts.select("kind", "value", gender.alias("gender"), F.lit(0).cast("int").alias("attempt"))
+    tried = materialise(now.mapInArrow(task, schema))
+    same = (F.col("attempt") == F.col("keeper.attempt")) & (F.col("value") == F.col("keeper.value"))
+    good = same & (F.lower("surrogate") != F.lower("value"))
+    for _ in range(FULL_SHAPE):
+        keepers = tried.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "value")).alias("keeper"))
+        judged = materialise(tried.join(keepers, ["kind", "surrogate"])
+                             .select("kind", "value", "gender", "attempt", "surrogate", good.alias("good")))
+        if judged.where("NOT good").isEmpty():
+            return judged.where("attempt > 0 OR gender IS NOT NULL").select("kind", "value", "attempt", "gender")
+        again = judged.where("NOT good").select("kind", "value", "gender", (F.col("attempt") + 1).alias("attempt"))
+        tried = materialise(judged.where("good").drop("good").unionByName(again.mapInArrow(task, schema)))
+    raise RuntimeError(f"entities still collide after {FULL_SHAPE} attempts: all values of a shape are taken")
 
 
 def replace_personal_data(docs: DataFrame, text: str = "text", key: bytes = KEY,
@@ -330,8 +397,8 @@ def replace_personal_data(docs: DataFrame, text: str = "text", key: bytes = KEY,
     n = later.count()
     named, shared = "__attempts", None
     if n <= max_broadcast:
-        shared = docs.sparkSession.sparkContext.broadcast({(r[0], r[1]): r[2] for r in later.collect()})
-        rows = docs.withColumn(named, F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
+        shared = docs.sparkSession.sparkContext.broadcast({(r[0], r[1]): (r[2], r[3]) for r in later.collect()})
+        rows = docs.withColumn(named, F.lit(None).cast("array<struct<kind:string,value:string,attempt:int,gender:string>>"))
     else:
         rows = _with_attempts(docs, later, text, named)
     order = [c for c in rows.columns if c not in (text, named)]
@@ -342,7 +409,7 @@ def replace_personal_data(docs: DataFrame, text: str = "text", key: bytes = KEY,
             texts, own = batch.column(text).to_pylist(), batch.column(named).to_pylist()
             new, spans = [], []
             for t, a in zip(texts, own):
-                known = {(x["kind"], x["value"]): x["attempt"] for x in a} if a else common
+                known = {(x["kind"], x["value"]): (x["attempt"], x["gender"]) for x in a} if a else common
                 got = (t, []) if t is None else replace_entities(t, known, key)
                 new.append(got[0])
                 spans.append(got[1])
@@ -359,7 +426,7 @@ def replace_personal_data(docs: DataFrame, text: str = "text", key: bytes = KEY,
 
 
 def _with_attempts(docs: DataFrame, later: DataFrame, text: str, name: str) -> DataFrame:
-    """Every row with the later attempts of its own entities (or null)."""
+    """Every row with the attempts and genders of its own entities (or null)."""
     def task(batches):
         for batch in slices(batches):
             uid, kind, value = [], [], []
@@ -374,7 +441,7 @@ def _with_attempts(docs: DataFrame, later: DataFrame, text: str, name: str) -> D
     uid = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
     held = docs.select(uid.alias("__uid"), text).mapInArrow(task, "__uid string, kind string, value string").distinct()
     per_text = held.join(later, ["kind", "value"]).groupBy("__uid").agg(
-        F.collect_list(F.struct("kind", "value", "attempt")).alias(name))
+        F.collect_list(F.struct("kind", "value", "attempt", "gender")).alias(name))
     return docs.withColumn("__uid", uid).join(per_text, "__uid", "left").drop("__uid")
 
 

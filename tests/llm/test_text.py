@@ -149,6 +149,65 @@ def test_colliding_names_get_later_attempts(spark):
     assert len(set(out)) == len(out)
 
 
+def test_given_names_match_the_gender_of_their_titles(spark):
+    texts = ["Mrs Anna Smith and Mr John Smith", "Dr Anna Smith", "Mr John Brown", "Mr Peter Brown", "Dr Robin Wood",
+             "Mr Kim Wood", "Mrs Kim Wood", "Herr Prof. Max Braun", "Dr Max Braun. Max agrees", "Frau Вера Браун"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for bound in (10**6, -1):
+        new = [r["text"] for r in P.replace_personal_data(docs, max_broadcast=bound).orderBy("doc_id").collect()]
+        assert new[:10] == new[10:]
+        first = [t.replace(".", "").split() for t in new]
+
+        def like(word, script, gender):
+            return any(word.startswith(x) for x in P.GIVEN[(script, gender)])
+        anna, john = first[0][1], first[0][5]
+        assert like(anna, "latin", "f") and like(john, "latin", "m") and first[1][1] == anna and first[2][1] == john
+        assert like(first[3][1], "latin", "m") and first[3][1] != john and like(first[4][1], "latin", "n")
+        assert first[5][1] == first[6][1] and like(first[5][1], "latin", "n")  # as many Mr as Mrs
+        assert like(first[7][2], "latin", "m") and first[8][1] == first[7][2] == first[8][3]
+        assert like(first[9][1], "cyrillic", "f")
+
+
+def test_many_names_stay_distinct(spark):
+    """Against a plain loop over all values: each keeps the first attempt
+    that no value with a lower attempt, or an earlier one with the same, took."""
+    names = [("given:latin:n", f"n{i}", "mf"[i % 2] if i % 3 else None) for i in range(2500)]
+    parts = spark.createDataFrame(names + [("surname:latin", f"s{i}", None) for i in range(2500)],
+                                  "kind string, value string, gender string")
+    got = {(r["kind"], r["value"]): (r["attempt"], r["gender"]) for r in P.later_attempts(parts).collect()}
+    todo, taken, want = [(k, v, g, 0) for k, v, g in parts.collect()], set(), {}
+    while todo:
+        again = []
+        for k, v, g, a in sorted(todo, key=lambda x: (x[0], x[1])):
+            new = P.surrogate(P.KEY, k, v, a, g)
+            if (k, new) in taken or new.lower() == v:
+                again.append((k, v, g, a + 1))
+            else:
+                taken.add((k, new))
+                want[(k, v)] = (a, g)
+        todo = again
+    assert got == {x: ag for x, ag in want.items() if ag[0] or ag[1]} and len(taken) == 5000
+
+
+def test_one_phone_has_one_surrogate():
+    def digits(text):
+        return "".join(c for c in P.replace_entities(f"Call {text}, now", {})[0] if c.isdigit())
+    assert len({digits(x) for x in ("5551234567", "555-123-4567", "(555) 123 4567", "555 123 4567")}) == 1
+    abroad = {digits(x) for x in ("+44 20 7946 0958", "+442079460958", "+44-20-7946-0958")}
+    assert len(abroad) == 1 and digits("0044 20 7946 0958") == "00" + abroad.pop()
+    a, b = (P.replace_entities(f"Call {x}, now", {})[0] for x in ("+44 (0)20 7946 0958", "+44 20 7946 0958"))
+    assert a.replace("(0)", "") == b and "(0)" in a
+
+
+def test_plain_words_that_are_names_stay():
+    def new(text):
+        return P.replace_entities(text, {})[0]
+    got = new("Mr Will Smith came. Will you go? I saw Will and Will Smith.")
+    assert ". Will you go?" in got and "I saw Will" not in got and "and Will" not in got
+    assert "Hope is" in new("Mrs Hope Brown left. Hope is all, I hope for Hope.") and "for Hope" in new("Mrs Hope Brown, I hope for Hope.")
+    assert "Anna" not in new("Mrs Anna Brown left. Anna came back.")
+
+
 def test_enciphering_is_a_bijection():
     for sizes in ([10, 10, 10], [7], [26, 10]):
         n = 1
