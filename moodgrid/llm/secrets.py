@@ -12,13 +12,14 @@ summed along the text by a window over the match rows.
 
 Defined cases: a null text counts as empty and shares the blob of the
 empty text; repeated rows and copies are scanned once and reported for
-each row; a null path is a path like any other; a text without findings
+each row; a blob that several increments hold counts once; a null path is a path like any other; a text without findings
 is in the ledger with none; empty tables give empty results; other input
 columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from typing import NamedTuple
 
@@ -38,7 +39,6 @@ class Rule(NamedTuple):
     least: int
 
 
-VERSION = "1"
 BASE = (
     Rule("assign", r"(?i)(password|passwd|secret|token|api_?key)[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
@@ -52,6 +52,13 @@ MORE = (
     Rule("url_login", r"[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D:/@]+:[^\x20\x09-\x0D:/@]+@", 0, 1),
 )
 RULES = BASE + MORE
+
+
+def rules_version(rules=RULES) -> str:
+    """Digest of the rules: any change of one is a new version."""
+    return hashlib.sha256(repr([tuple(r) for r in rules]).encode()).hexdigest()[:16]
+
+
 LEDGER_SCHEMA = ("blob string, rule_version string, "
                  "findings array<struct<start:bigint,rank:int,kind:string,stop:bigint>>")
 
@@ -98,8 +105,10 @@ def unseen(paths: DataFrame, ledger: DataFrame, version: str) -> DataFrame:
 
 
 def scan_unseen(docs: DataFrame, ledger: DataFrame, path: str = "doc_id", text: str = "text",
-                rules=RULES, version: str = VERSION) -> DataFrame:
-    """Ledger rows for the (blob, version) pairs that ``ledger`` lacks."""
+                rules=RULES, version: str | None = None) -> DataFrame:
+    """Ledger rows for the (blob, version) pairs that ``ledger`` lacks; the
+    version is that of the rules unless named."""
+    version = version or rules_version(rules)
     versions = docs.select(F.col(path).alias("path"), blob_id(F.col(text)).alias("blob"),
                            text_or_empty(F.col(text)).alias("text"))
     todo = unseen(versions.select("path", "blob"), ledger, version)
@@ -119,14 +128,16 @@ def empty_ledger(spark) -> DataFrame:
 
 
 def scan(docs: DataFrame, ledger_path: str, path: str = "doc_id", text: str = "text",
-         rules=RULES, version: str = VERSION) -> DataFrame:
+         rules=RULES, version: str | None = None) -> DataFrame:
     """Bring the ledger at ``ledger_path`` (a shared folder) up to date with
     ``docs`` and return (path, findings) for every input row.
 
     Each call appends one immutable increment folder, so a failed call
-    leaves the ledger as it was.
+    leaves the ledger as it was; calls that scan the same blobs at the same
+    time write equal rows, which count once.
     """
     spark = docs.sparkSession
+    version = version or rules_version(rules)
     before = read_ledger(spark, ledger_path)
     scan_unseen(docs, before, path, text, rules, version) \
         .write.parquet(f"{ledger_path}/increment={uuid.uuid4().hex}")
@@ -144,9 +155,11 @@ def read_ledger(spark, ledger_path: str) -> DataFrame:
 
 
 def join_back(docs: DataFrame, ledger: DataFrame, path: str = "doc_id", text: str = "text",
-              version: str = VERSION) -> DataFrame:
-    """(path, findings) of every row; only ids and digests are shuffled."""
-    known = ledger.where(F.col("rule_version") == version).select("blob", "findings")
+              version: str | None = None) -> DataFrame:
+    """(path, findings) of every row; only ids and digests are shuffled.
+    Increments may repeat a blob: it is folded before the join."""
+    known = ledger.where(F.col("rule_version") == (version or rules_version())) \
+        .groupBy("blob").agg(F.first("findings").alias("findings"))
     rows = docs.select(F.col(path).alias("path"), blob_id(F.col(text)).alias("blob"))
     return rows.join(known, "blob", "left").select("path", "blob", _or_none(F.col("findings")).alias("findings"))
 

@@ -80,6 +80,13 @@ def test_secret_spans_and_increments(spark, odd_docs, no_docs):
     assert S.scan_unseen(more, ledger, version="2").count() == 6
     assert S.secret_report(more, path).count() == 8
     assert S.read_ledger(spark, path).count() == 6
+    # two scans of the same blobs at the same time: increments that repeat them
+    S.scan_unseen(more, S.empty_ledger(spark)).write.parquet(f"{path}/increment=again")
+    assert S.read_ledger(spark, path).count() == 12
+    assert S.join_back(more, S.read_ledger(spark, path)).count() == more.count()
+    # a changed rule is a new version and finds what it now matches
+    changed = S.RULES[:-1] + (S.RULES[-1]._replace(least=2),)
+    assert S.rules_version(changed) != S.rules_version() and S.scan_unseen(more, ledger, rules=changed).count() == 6
     assert S.secret_report(odd_docs, run_folder(spark, "test-ledger")).count() == odd_docs.count()
     assert S.secret_report(no_docs, run_folder(spark, "test-ledger")).count() == 0
 
