@@ -6,8 +6,10 @@ product of its smoothed trigram shares.  For each document, expectation-
 maximisation estimates the proportions of all languages from its words;
 languages are then ranked by proportion, and among the leading 1, 2, ...
 languages (each set fitted again) the one with the highest penalised
-likelihood is the document's language set.  The prediction is the
-largest language of that set, its score the proportion among all languages.
+likelihood is the document's language set; sets grow as long as a language
+has ``MIN_SHARE`` of the words.  The shares are those fitted to the chosen
+set and sum to 1.  The prediction is the largest language of that set, its
+score its proportion in the fit over all languages.
 
 Defined cases: a null text or one without a letter is ``und`` with score
 0; without training rows every text is ``und``; copies and repeated rows
@@ -30,7 +32,6 @@ BUCKETS = 1 << 16
 SMOOTH = 0.5
 STEPS = 12          # EM rounds over all languages, then again per set
 MIN_SHARE = 0.02    # a smaller language is not tried in a set
-MAX_SET = 4
 UND = "und"
 
 # Bytes of letters: ASCII letters and all bytes of non-ASCII characters.
@@ -78,22 +79,16 @@ def count_languages(rows: DataFrame) -> DataFrame:
         .groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def _per_text(values: np.ndarray, first: np.ndarray, any_word: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((n,) + values.shape[1:])
-    if len(first):
-        out[any_word] = np.add.reduceat(values, first, axis=0)
-    return out
-
-
 def mixtures(c: Chunk, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(proportions, in the set, has words) of every text of a chunk.
+    """(proportions in the fit over all languages, proportions in the fit of
+    the chosen set, has words) of every text of a chunk.
 
     ``logp`` is (buckets, languages) of log shares.
     """
     n_lang = logp.shape[1]
     bucket, first, row = _trigrams(c)
     if len(row) == 0:
-        return np.zeros((c.n, n_lang)), np.zeros((c.n, n_lang), bool), np.zeros(c.n, bool)
+        return np.zeros((c.n, n_lang)), np.zeros((c.n, n_lang)), np.zeros(c.n, bool)
     word = np.add.reduceat(logp[bucket], first, axis=0)
     peak = word.max(axis=1, keepdims=True)
     like = np.exp(word - peak)
@@ -115,25 +110,26 @@ def mixtures(c: Chunk, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
 
     share, _ = fit(like, doc_first, size, of, np.ones((len(docs), n_lang)))
     rank = np.argsort(-share, axis=1, kind="stable")
-    chosen = np.zeros((len(docs), n_lang), bool)
-    chosen[np.arange(len(docs)), rank[:, 0]] = True
-    mixed = np.flatnonzero((share >= MIN_SHARE).sum(axis=1) > 1)
-    if len(mixed):
-        words = np.isin(of, mixed)
-        l2, s2 = like[words], size[mixed]
-        f2, o2 = np.cumsum(s2) - s2, np.repeat(np.arange(len(mixed)), s2)
-        best = np.full(len(mixed), -np.inf)
-        for k in range(1, min(MAX_SET, n_lang) + 1):
-            allowed = np.zeros((len(mixed), n_lang))
-            np.put_along_axis(allowed, rank[mixed, :k], 1.0, axis=1)
-            allowed *= (share[mixed] >= MIN_SHARE) | (np.arange(n_lang) == rank[mixed, :1])
-            _, ll = fit(l2, f2, s2, o2, allowed)
-            gain = ll - (allowed.sum(axis=1) - 1) * (np.log(s2) / 2 + 1)
-            better = gain > best
-            best[better] = gain[better]
-            chosen[mixed[better]] = allowed[better] > 0
-    out_share, out_set, has = np.zeros((c.n, n_lang)), np.zeros((c.n, n_lang), bool), np.zeros(c.n, bool)
-    out_share[docs], out_set[docs], has[docs] = share, chosen, True
+    fitted = np.zeros((len(docs), n_lang))
+    fitted[np.arange(len(docs)), rank[:, 0]] = 1.0
+    tried = (share >= MIN_SHARE).sum(axis=1)
+    best = np.full(len(docs), -np.inf)
+    for k in range(1, n_lang + 1):
+        more = np.flatnonzero(tried >= max(k, 2))  # texts with a k-th candidate; one candidate needs no fit
+        if not len(more):
+            break
+        words = np.isin(of, more)
+        s2 = size[more]
+        f2, o2 = np.cumsum(s2) - s2, np.repeat(np.arange(len(more)), s2)
+        allowed = np.zeros((len(more), n_lang))
+        np.put_along_axis(allowed, rank[more, :k], 1.0, axis=1)
+        got, ll = fit(like[words], f2, s2, o2, allowed)
+        gain = ll - (k - 1) * (np.log(s2) / 2 + 1)
+        better = gain > best[more]
+        best[more[better]] = gain[better]
+        fitted[more[better]] = got[better]
+    out_share, out_set, has = np.zeros((c.n, n_lang)), np.zeros((c.n, n_lang)), np.zeros(c.n, bool)
+    out_share[docs], out_set[docs], has[docs] = share, fitted, True
     return out_share, out_set, has
 
 
@@ -157,14 +153,14 @@ def language_mixtures(docs: DataFrame, train: Column, keep: dict, text: str = "t
             pred, score, langs, shares = [], [], [], []
             letter = batch.column("__letter").to_pylist()
             for c in chunks(batch.column("__text")):
-                share, chosen, has = mixtures(c, logp) if names else (None, None, np.zeros(c.n, bool))
+                share, fitted, has = mixtures(c, logp) if names else (None, None, np.zeros(c.n, bool))
                 for i in range(c.n):
                     order = [] if not (has[i] and letter[c.first + i]) else \
-                        sorted(np.flatnonzero(chosen[i]), key=lambda j: (-share[i, j], j))
+                        sorted(np.flatnonzero(fitted[i]), key=lambda j: (-fitted[i, j], j))
                     pred.append(names[order[0]] if order else UND)
                     score.append(min(1.0, float(share[i, order[0]])) if order else 0.0)
                     langs.append([names[j] for j in order])
-                    shares.append([float(share[i, j]) for j in order])
+                    shares.append([float(fitted[i, j]) for j in order])
             kept = {k: batch.column(k) for k in batch.schema.names if k not in ("__text", "__letter")}
             yield pa.record_batch({**kept, "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64()),
                                    "langs": pa.array(langs, pa.list_(pa.string())),

@@ -190,8 +190,32 @@ def test_languages(spark, odd_docs, no_docs):
     assert all(got[i]["lang_pred"] == r for i, _, r in rows[:60])
     assert set(got[100]["langs"]) == {"aa", "bb"} and got[100]["shares"][0] == pytest.approx(0.5, abs=0.1)
     assert [got[i]["lang_pred"] for i in (101, 102, 103)] == ["und"] * 3
-    assert len(got[0]["langs"]) == 1
+    assert len(got[0]["langs"]) == 1 and got[0]["shares"] == [1.0]
+    assert all(sum(r["shares"]) == pytest.approx(1.0) for r in got.values() if r["langs"])
     assert langmix.language_report(odd_docs).count() == odd_docs.count()
     assert langmix.language_report(no_docs).count() == 0
     nothing = langmix.language_mixtures(docs, F.lit(False), {"doc_id": F.col("doc_id")}).collect()
     assert {r["lang_pred"] for r in nothing} == {"und"}
+
+
+def test_mixtures_of_many_languages_and_against_enumeration():
+    """Eight languages with letters of their own: a text in equal parts of
+    six has all six; shares of two against a grid of all proportions."""
+    names = [chr(97 + 3 * i) * 2 + chr(98 + 3 * i) * 2 + chr(99 + 3 * i) for i in range(8)]
+    logp = np.full((langmix.BUCKETS, 8), 0.5)
+    for lang, word in enumerate(names):
+        c = next(B.chunks(pa.array([" ".join([word, word[::-1], word[2:]] * 50)])))
+        bucket, _, _ = langmix._trigrams(c)
+        logp[:, lang] += np.bincount(bucket, minlength=langmix.BUCKETS)
+    logp = np.log(logp) - np.log(logp.sum(axis=0))
+    texts = [" ".join(names[:6] * 20), " ".join([names[1]] * 30 + [names[4]] * 10), names[7]]
+    c = next(B.chunks(pa.array(texts)))
+    _, fitted, has = langmix.mixtures(c, logp)
+    assert has.all()
+    assert fitted[0][:6] == pytest.approx([1 / 6] * 6, abs=0.01) and fitted[0][6:].sum() == 0
+    assert fitted[2].tolist() == [0.0] * 7 + [1.0]
+    bucket, first, row = langmix._trigrams(c)
+    like = np.exp(np.add.reduceat(logp[bucket], first, axis=0)[row == 1][:, [1, 4]])
+    grid = np.linspace(0, 1, 1001)
+    best = grid[np.argmax([np.log(like @ [x, 1 - x] + 1e-300).sum() for x in grid])]
+    assert fitted[1][1] == pytest.approx(best, abs=0.002) and fitted[1][4] == pytest.approx(1 - best, abs=0.002)
