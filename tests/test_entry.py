@@ -15,7 +15,8 @@ FAST = ["u3_afinn_range_counts", "t123_ingest_normalise", "t4_negation_scope", "
         "f5_emoticons", "f7_pos_counts", "f9_nrc_lexicon_features", "s1_labelled_scan",
         "a4_score_histogram", "a7_label_f1_precision", "a13_threshold_sweep", "k1_topk_per_label",
         "m10_backfeed_selection", "s15_batch_assignment", "s18_related_words", "u10_similarity_diff",
-        "a6_distance_histogram", "f11_word_tfidf"]
+        "a6_distance_histogram", "f11_word_tfidf", "t6_rule_lemmas", "s12_synset_files", "s19_taxonomy_wup",
+        "u9_taxonomy_path", "m6_density_tree", "m7_min_cluster_size"]
 
 
 def test_entry_smoke(spark):
