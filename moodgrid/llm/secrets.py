@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.lookup import materialise
 from .columns import text_or_empty
 
 
@@ -158,8 +159,9 @@ def join_back(docs: DataFrame, ledger: DataFrame, path: str = "doc_id", text: st
               version: str | None = None) -> DataFrame:
     """(path, findings) of every row; only ids and digests are shuffled.
     Increments may repeat a blob: it is folded before the join."""
-    known = ledger.where(F.col("rule_version") == (version or rules_version())) \
-        .groupBy("blob").agg(F.first("findings").alias("findings"))
+    # folded apart from the join, whose hot blobs adaptive execution can split only between plain shuffles
+    known = materialise(ledger.where(F.col("rule_version") == (version or rules_version()))
+                        .groupBy("blob").agg(F.first("findings").alias("findings")))
     rows = docs.select(F.col(path).alias("path"), blob_id(F.col(text)).alias("blob"))
     return rows.join(known, "blob", "left").select("path", "blob", _or_none(F.col("findings")).alias("findings"))
 
