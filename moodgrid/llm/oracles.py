@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from .licenses import NOTICES, PHRASES
-from .quality import STOP_WORDS
+from .quality import STOP_LANGS, STOP_WORDS
 from .secrets import BASE, RULES
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_LANGS = ", ".join(f"'{x}'" for x in STOP_LANGS)
 
 QUALITY = rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, split_part(replace(lower(lang), '_', '-'), '-', 1) AS base FROM documents),
+w AS (SELECT doc_id, t, coalesce(base IN ({_LANGS}), false) AS asked, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
 p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i:i+4]) AS c FROM p),
 r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM g WHERE c > 1)
@@ -18,7 +19,7 @@ r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i,
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
 ls AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup
        FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words,
+m AS (SELECT w.doc_id, asked, len(ws)::BIGINT AS n_words,
         length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
         coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
@@ -29,7 +30,8 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stop_words, base_failed,
   CASE WHEN base_failed THEN false
        ELSE word_chars / n_words BETWEEN 2.0 AND 14.0 AND n_symbols / n_words <= 0.25
-            AND n_stop_words >= 2 AND n_dup_lines / n_lines <= 0.30 END AS kept
+            AND (NOT asked OR n_words < 50 OR n_stop_words >= 2)
+            AND (n_dup_lines < 3 OR n_dup_lines / n_lines <= 0.30) END AS kept
 FROM b
 """
 

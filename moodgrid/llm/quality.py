@@ -9,10 +9,10 @@ Defined cases: a null text counts as empty; an empty text has zero for
 every measure and fails ``min_words``; ratios of an empty text are 0;
 repeated rows are judged alike, row by row; an empty table gives an empty
 result; stop words are asked for only in texts of 50 words and more whose
-``lang`` has some in the list, and duplicate lines have to be three at
-least (``keep_clean``; the query keeps the plain limits that its SQL
-states); measures live in one struct column (``MEASURES``), so input
-columns with clashing names keep their values.
+``lang`` has some in the list (a null ``lang``, or none: not asked), and
+duplicate lines have to be three at least; measures live in one struct
+column (``MEASURES``), so input columns with clashing names keep their
+values.
 """
 
 from __future__ import annotations
@@ -48,20 +48,15 @@ class Rule(NamedTuple):
     langs: tuple[str, ...] | None = None
 
 
-#: Base limits of the query contract, the limits of the method as the
-#: query's SQL fixes them, then those of ``keep_clean``.
+#: Base limits of the query contract, then those of the method.
 BASE_RULES = (
     Rule("min_words", "n_words", 10, None),
     Rule("repeated_windows", "repeat_ratio", None, 0.20),
 )
+STOP_LANGS = ("en", "fr", "es", "de")  # languages of STOP_WORDS
 RULES = (
     Rule("mean_word_length", "mean_word_chars", 2.0, 14.0),
     Rule("symbol_ratio", "symbol_ratio", None, 0.25),
-    Rule("stop_words", "n_stop_words", 2, None),
-    Rule("duplicate_lines", "dup_line_ratio", None, 0.30),
-)
-STOP_LANGS = ("en", "fr", "es", "de")  # languages of STOP_WORDS
-CLEAN_RULES = RULES[:2] + (
     Rule("stop_words", "n_stop_words", 2, None, ("n_words", 50), STOP_LANGS),
     Rule("duplicate_lines", "dup_line_ratio", None, 0.30, ("n_dup_lines", 3)),
 )
@@ -166,14 +161,14 @@ def apply_rules(docs: DataFrame, text: str = "text", rules=RULES, lang: str = "l
     return df.withColumn("__kept", ~base_failed(m) & compile_rules(rules, m, spoken))
 
 
-def keep_clean(docs: DataFrame, text: str = "text", rules=CLEAN_RULES, lang: str = "lang") -> DataFrame:
+def keep_clean(docs: DataFrame, text: str = "text", rules=RULES, lang: str = "lang") -> DataFrame:
     """Rows that pass all rules, with the input's own columns."""
     return apply_rules(docs, text, rules, lang).where("__kept").select(*docs.columns)
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """Contract columns of query ``op2``."""
-    df = apply_rules(docs.select("doc_id", "text"))
+    df = apply_rules(docs.select("doc_id", "text", *[c for c in docs.columns if c == "lang"]))
     m = F.col(MEASURES)
     return df.select("doc_id", *[m[c].alias(c) for c in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words")],

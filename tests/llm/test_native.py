@@ -59,6 +59,10 @@ def test_clean_short_and_foreign_texts_stay(spark):
     docs = spark.createDataFrame(clean + bad, "doc_id bigint, text string, lang string")
     assert {r["doc_id"] for r in Q.keep_clean(docs).collect()} == {1, 2, 3, 4, 5}
     assert {r["doc_id"] for r in Q.keep_clean(docs.drop("lang")).collect()} == {1, 2, 3, 4, 5, 6, 7}
+    assert {r["doc_id"] for r in Q.quality_report(docs).where("kept").collect()} == {1, 2, 3, 4, 5}
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert {i for i, ok in con.execute(f"SELECT doc_id, kept FROM ({ORACLES['op2_quality_rules']})").fetchall() if ok} == {1, 2, 3, 4, 5}
 
 
 def test_secret_spans_and_increments(spark, odd_docs, no_docs):
@@ -162,3 +166,29 @@ def test_leaks_against_brute_force(spark, odd_docs, no_docs):
     assert D.without_leaks(odd_docs, b).columns == odd_docs.columns
     assert D.without_leaks(odd_docs, b.limit(0)).count() == odd_docs.count()
     assert D.find_leaks(no_docs, b).count() == 0
+
+
+def test_recall_of_borderline_windows(spark):
+    """Windows of 20 to 90 words with a similarity from 0.8 up, found by the
+    radius against brute force: at least 0.95 of them."""
+    import random
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(5000)]
+    items = [(i, [rng.choice(vocab) for _ in range(rng.choice([20, 40, 60, 90]))]) for i in range(40)]
+    docs, want = [], set()
+    for i in range(600):
+        item, words = items[i % 40]
+        part = list(words)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            part[rng.randrange(len(part))] = "changed"
+        docs.append((i, " ".join([rng.choice(vocab) for _ in range(30)] + part + [rng.choice(vocab) for _ in range(30)])))
+        a, b = ({tuple(x[j:j + 5]) for j in range(len(x) - 4)} for x in (words, part))
+        # shingles of one item only: all weigh the same
+        if len(a & b) / len(a | b) >= D.THRESHOLD:
+            want.add((i, item))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in D.find_leaks(d, b).collect()}
+    recall = len(got & want) / len(want)
+    print(f"recall {recall:.4f} of {len(want)}")
+    assert recall >= 0.95
