@@ -21,7 +21,7 @@ from .registry import ORACLES, QUERIES, register, table
 from .runs import run_report
 from .secrets import secret_report
 from .toxicity import toxicity_report
-from .warc import derive
+from .warc import derive, responses
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -72,7 +72,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op9_warc_derivatives")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(table(spark, sf_dir, "pages"))
+    return derive(responses(table(spark, sf_dir, "pages")))
 
 
 @register("op10_language_mixture")

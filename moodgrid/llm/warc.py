@@ -3,17 +3,19 @@
 ``responses`` wraps fetched pages as WARC response records (HTTP head and
 body); ``derive`` reads response records and yields, for each, a
 conversion record (plain text) and a metadata record (title, language,
-links, the source's HTTP head).  Both name the response in
-WARC-Refers-To with its URI and date, carry the response's payload digest,
-and name each other.  ``serialise`` and ``parse`` turn records into WARC
+links, the source's WARC headers and HTTP head).  Both name the response in
+WARC-Refers-To with its own id, URI and date and carry its payload digest;
+the metadata record names the conversion.  ``serialise`` and ``parse`` turn records into WARC
 bytes and back without loss.
 
 Record ids are UUIDs of (kind, page key, URI, payload digest): running
 again gives the same ids.
 
-Defined cases: a null page body counts as empty, a null URI leaves out the
-URI headers and links stay as written; repeated rows give equal records
-row by row; a page without markup gives its own text; an empty table gives
+Defined cases: a null page body or block counts as empty, a null URI leaves
+out the URI headers and links stay as written, a missing date leaves out the
+date headers; a record that is no response or has no id has no derivatives;
+of a repeated header the first counts; a block without an HTTP head is all
+body; repeated rows give equal records row by row; a page without markup gives its own text; an empty table gives
 an empty result; other columns are not read.
 """
 
@@ -42,6 +44,7 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 _SKIPPED = {"script", "style", "noscript", "template", "svg"}
 _BREAKS = set("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 "
               "h4 h5 h6 head header hr html li main nav ol p pre section table td th title tr ul".split())
+_CHARSET = re.compile(r"""content-type\s*:.*?charset\s*=\s*["']?([\w.:-]+)""", re.I)
 _BLANKS = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 
@@ -117,31 +120,55 @@ def _one_line(text: str) -> str:
     return " ".join(text.split())
 
 
-def derivatives(source: dict) -> list[dict]:
-    """The conversion and the metadata record of a response record."""
-    named = dict(source["headers"])
-    head, _, body = source["block"].partition(b"\r\n\r\n")
+def _payload(block: bytes) -> tuple[str, list[str], bytes]:
+    """Status line, header lines and body of an HTTP response; a block
+    without an HTTP head is all body."""
+    if not block.startswith(b"HTTP/"):
+        return "", [], block
+    head, _, body = block.partition(b"\r\n\r\n")
     status, *http = head.decode("latin-1").split("\r\n")
-    charset = re.search(r"charset=([\w-]+)", head.decode("latin-1"))
-    page = read_html(body.decode(charset.group(1) if charset else "utf-8", "replace"))
-    origin, uri = named["WARC-Record-ID"], named.get("WARC-Target-URI")
+    return status, http, body
+
+
+def _text(body: bytes, http: list[str]) -> str:
+    """The body in the charset that Content-Type names; an unknown or
+    missing one is read as UTF-8."""
+    for line in http:
+        m = _CHARSET.match(line)
+        if m:
+            try:
+                return body.decode(m.group(1), "replace")
+            except LookupError:
+                break
+    return body.decode("utf-8", "replace")
+
+
+def derivatives(source: dict) -> list[dict]:
+    """The conversion and the metadata record of a response record, none of
+    another record.  A source digest that the record lacks is computed."""
+    named = {k.lower(): v for k, v in reversed(source["headers"])}
+    if named.get("warc-type") != "response" or not named.get("warc-record-id"):
+        return []
+    status, http, body = _payload(source["block"])
+    page = read_html(_text(body, http))
+    origin, uri, date = named["warc-record-id"], named.get("warc-target-uri"), named.get("warc-date")
+    payload = named.get("warc-payload-digest") or digest(body)
     ids = {k: record_id(k, origin) for k in ("conversion", "metadata")}
     fields = [("title", _one_line(page["title"])), ("language", page["lang"]), ("conversion", ids["conversion"]),
-              ("source-payload-digest", named["WARC-Payload-Digest"]), ("http-status", status)]
-    fields += [("http-header", h) for h in http]
+              ("source-payload-digest", payload), ("http-status", status)]
+    fields += [("http-header", _one_line(h)) for h in http]
+    fields += [("warc-header", f"{k}: {_one_line(v or '')}") for k, v in source["headers"]]
     fields += [("outlink", _one_line(_joined(uri, x))) for x in page["links"]]
     blocks = {"conversion": ("text/plain; charset=utf-8", page["text"]),
               "metadata": ("application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields if v))}
     out = []
     for kind, (mime, text) in blocks.items():
         block = text.encode("utf-8", "replace")
-        headers = [("WARC-Type", kind), ("WARC-Record-ID", ids[kind])]
-        headers += [("WARC-Target-URI", uri)] if uri is not None else []
-        headers += [("WARC-Date", named["WARC-Date"]), ("WARC-Refers-To", origin)]
-        headers += [("WARC-Refers-To-Target-URI", uri)] if uri is not None else []
-        headers += [("WARC-Refers-To-Date", named["WARC-Date"]), ("WARC-Source-Payload-Digest", named["WARC-Payload-Digest"]),
-                    ("WARC-Block-Digest", digest(block)), ("Content-Type", mime), ("Content-Length", str(len(block)))]
-        out.append({"headers": headers, "block": block})
+        headers = [("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Target-URI", uri), ("WARC-Date", date),
+                   ("WARC-Refers-To", origin), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date),
+                   ("WARC-Source-Payload-Digest", payload), ("WARC-Block-Digest", digest(block)),
+                   ("Content-Type", mime), ("Content-Length", str(len(block)))]
+        out.append({"headers": [(k, v) for k, v in headers if v is not None], "block": block})
     return out
 
 
@@ -172,25 +199,47 @@ def parse(data: bytes) -> list[dict]:
     return out
 
 
-def derive(pages: DataFrame, key: str = "page_id", uri: str = "url", page: str = "html", date: str = DATE) -> DataFrame:
-    """Two rows (conversion, metadata) for every page, see ``SCHEMA``."""
+_HEADERS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+
+
+def _listed(headers) -> list:
+    return [{"name": a, "value": b} for a, b in headers]
+
+
+def responses(pages: DataFrame, key: str = "page_id", uri: str = "url", page: str = "html", date: str = DATE) -> DataFrame:
+    """(key, headers, block): one response record for every page."""
     kind = pages.schema[key].dataType.simpleString()
 
+    def task(batches):
+        for batch in batches:
+            made = [response(k, u, p, date) for k, u, p in zip(*(batch.column(i).to_pylist() for i in range(3)))]
+            yield pa.record_batch({key: batch.column(0), "headers": pa.array([_listed(r["headers"]) for r in made], _HEADERS),
+                                   "block": pa.array([r["block"] for r in made], pa.large_binary())})
+
+    return pages.select(F.col(key), F.col(uri).cast("string"), F.col(page).cast("string")).mapInArrow(
+        task, f"`{key}` {kind}, headers array<struct<name:string,value:string>>, block binary")
+
+
+def derive(records: DataFrame, key: str = "page_id", headers: str = "headers", block: str = "block") -> DataFrame:
+    """Two rows (conversion, metadata) for every response record, see ``SCHEMA``."""
+    kind = records.schema[key].dataType.simpleString()
+
     def task(batches):
         for batch in batches:
             rows = {c: [] for c in ("record_type", "record_id", "refers_to", "target_uri", "warc_date", "headers",
                                     "block", "block_digest", "source_digest")}
-            for k, u, p in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for r in derivatives(response(k, u, p, date)):
+            pair = []
+            for i, (hs, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                source = {"headers": [(h["name"], h["value"]) for h in hs or ()], "block": bytes(b or b"")}
+                for r in derivatives(source):
                     h = dict(r["headers"])
                     for c, v in zip(rows, (h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], h.get("WARC-Target-URI"),
-                                           h["WARC-Date"], [{"name": a, "value": b} for a, b in r["headers"]],
-                                           r["block"].decode(), h["WARC-Block-Digest"], h["WARC-Source-Payload-Digest"])):
+                                           h.get("WARC-Date"), _listed(r["headers"]), r["block"].decode(),
+                                           h["WARC-Block-Digest"], h["WARC-Source-Payload-Digest"])):
                         rows[c].append(v)
-            pair = pa.array([i for i in range(len(batch)) for _ in range(2)], pa.int64())
-            struct = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
-            yield pa.record_batch({key: batch.column(0).take(pair), **{
-                c: pa.array(v, struct if c == "headers" else pa.string()) for c, v in rows.items()}})
+                    pair.append(i)
+            yield pa.record_batch({key: batch.column(0).take(pa.array(pair, pa.int64())), **{
+                c: pa.array(v, _HEADERS if c == "headers" else pa.string()) for c, v in rows.items()}})
 
     schema = SCHEMA.format(key=kind).replace("page_id", f"`{key}`", 1)
-    return pages.select(F.col(key), F.col(uri).cast("string"), F.col(page).cast("string")).mapInArrow(task, schema)
+    return records.select(F.col(key), F.col(headers), F.col(block)).mapInArrow(task, schema)

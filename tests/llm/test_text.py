@@ -240,10 +240,53 @@ def test_warc_derivatives_round_trip(spark, no_docs):
     pages = spark.createDataFrame([(1, "http://h.example/", PAGE, "x"), (1, "http://h.example/", PAGE, "x"), (2, None, None, "y"),
                                    (None, "::bad", "<a href='http://[x'>l</a><!-- open", "z")],
                                   "page_id bigint, url string, html string, block string")
-    rows = W.derive(pages).collect()
+    made = W.responses(pages)
+    rows = W.derive(made).collect()
     assert len(rows) == 8 and {r["record_type"] for r in rows} == {"conversion", "metadata"}
     assert len({r["record_id"] for r in rows}) == 6
-    assert W.derive(pages.limit(0)).count() == 0
+    assert W.derive(W.responses(pages.limit(0))).count() == 0
+    # by the operator as by hand, for every page
+    want = sorted((str(p["page_id"]), *_flat(r)) for p in pages.collect()
+                  for r in W.derivatives(W.response(p["page_id"], p["url"], p["html"])))
+    assert sorted((str(r["page_id"]), [tuple(h) for h in r["headers"]], r["block"]) for r in rows) == want
+
+
+def _flat(record):
+    return record["headers"], record["block"].decode()
+
+
+def test_derivatives_keep_the_records_own_headers(spark):
+    body = "<html lang='de'><title>Grüße</title>schöner Tag</html>".encode("iso-8859-1")
+    block = b"HTTP/1.1 404 Not Found\r\ncontent-type: text/html; Charset=\"ISO-8859-1\"\r\nX-Served-By: a b\r\n\r\n" + body
+    own = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Date", "2019-05-06T07:08:09Z"),
+           ("WARC-Target-URI", "http://h.example/p"), ("WARC-IP-Address", "192.0.2.7"), ("WARC-Payload-Digest", "sha1:OWN")]
+    bare = [("warc-type", "response"), ("Warc-Record-Id", "<urn:uuid:2>")]
+    data = [(1, own, block, "x"), (1, own, block, "y"), (2, bare, b"plain \xff words", "x"), (3, bare, None, "x"),
+            (4, [("WARC-Type", "request"), ("WARC-Record-ID", "<urn:uuid:3>")], block, "x"), (5, [("WARC-Type", "response")], block, "x"),
+            (6, None, block, "x"), (7, bare, b"HTTP/1.1 200 OK\r\nContent-Type: text/plain; charset=no-such\r\n\r\nok", "x")]
+    records = spark.createDataFrame(data, "page_id int, headers array<struct<name:string,value:string>>, block binary, refers_to string")
+    rows = W.derive(records).collect()
+    by_page = {}
+    for r in rows:
+        by_page.setdefault(r["page_id"], []).append(r)
+    assert {k: len(v) for k, v in by_page.items()} == {1: 4, 2: 2, 3: 2, 7: 2}
+    conv = next(r for r in by_page[1] if r["record_type"] == "conversion")
+    meta = next(r for r in by_page[1] if r["record_type"] == "metadata")
+    assert conv["block"] == "Grüße\nschöner Tag" and conv["block_digest"] == W.digest(conv["block"].encode())
+    for r in (conv, meta):
+        assert (r["refers_to"], r["target_uri"], r["warc_date"], r["source_digest"]) == (
+            "<urn:uuid:1>", "http://h.example/p", "2019-05-06T07:08:09Z", "sha1:OWN")
+        named = {h["name"]: h["value"] for h in r["headers"]}
+        assert named["WARC-Refers-To-Date"] == named["WARC-Date"] == "2019-05-06T07:08:09Z"
+    lines = meta["block"].split("\r\n")
+    assert "http-status: HTTP/1.1 404 Not Found" in lines and "http-header: X-Served-By: a b" in lines
+    assert "warc-header: WARC-IP-Address: 192.0.2.7" in lines and "language: de" in lines
+    assert f"conversion: {conv['record_id']}" in lines
+    second = by_page[2][0]
+    assert second["warc_date"] is None and second["target_uri"] is None
+    assert second["source_digest"] == W.digest(b"plain \xff words")
+    assert {r["block"] for r in by_page[2] + by_page[7] if r["record_type"] == "conversion"} == {"plain \ufffd words", "ok"}
+    assert {r["block"] for r in by_page[3] if r["record_type"] == "conversion"} == {""}
 
 
 def test_html_reader_is_linear():
