@@ -162,6 +162,29 @@ def test_distance_histogram_counts_all_ordered_pairs(spark):
     assert h.agg(F.sum("n")).first()[0] == 40 * 39
 
 
+def test_blocks_and_tiles_cover_every_pair_once(spark):
+    from collections import Counter
+    for same, rows, cols in ((True, 23, 23), (False, 23, 9), (False, 0, 9), (True, 5, 5)):
+        seen = Counter()
+        for s, t in D.tiles(same, rows, cols, 5):
+            for x in range(rows)[s]:
+                for y in range(cols)[t]:
+                    seen[min(x, y) if same and s == t else x, max(x, y) if same and s == t else y] += 1
+        for (x, y), n in seen.items():  # a tile against itself holds both directions
+            assert n == (2 if same and x // 5 == y // 5 and x != y else 1)
+        assert len(seen) == (rows * (rows + 1) // 2 if same else rows * cols)
+    # copies of a vector: no more blocks than the bytes or the tasks ask for
+    assert D.block_count(10 ** 9, 64, 2048, 8) == -(-10 ** 9 // 32768)
+    assert D.block_count(100_000, 64, 2048, 8) == 4 and D.block_count(1000, 64, 2048, 8) == 1
+    rows = [(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    small, large = (D.distance_histogram(df, "vec_id", "embedding", block_size=b).select("distance", "n", "bar").orderBy("distance").collect()
+                    for b in (3, 64))
+    assert small == large
+    none = D.distance_histogram(df.limit(0), "vec_id", "embedding")
+    assert none.count() == 0
+
+
 def test_class_mask_letters():
     from moodgrid.operators.ingest import class_mask
     assert class_mask("pne") == C.POS | C.NEG | C.NEU
