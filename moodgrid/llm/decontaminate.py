@@ -1,8 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows.
 
 Only DataFrame functions.  Texts become runs of letters and digits in
-lower case and 5-word shingles (64-bit hashes; a shorter item is one
-shingle).  A window without a shingle of an item has similarity 0 to it,
+lower case and 5-word shingles (64-bit hashes; an item of fewer than five
+words is one shingle, so it matches only a text of just those words).  A window without a shingle of an item has similarity 0 to it,
 so windows are laid only where a shingle is shared: shingle p of the text
 equal to shingle o of an item puts an item-sized window at p - o.
 
