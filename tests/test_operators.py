@@ -58,6 +58,38 @@ def test_lexicon_features_match_pair_enumeration(spark):
         assert [round(x, 9) for x in got[pid]] == [round(float(x), 9) for x in want], (pid, got[pid], want)
 
 
+def test_lexicon_features_of_any_lexicon_prepare_a_post_once(spark, monkeypatch):
+    """Posts are prepared once however many rows the lexicon has; shards of
+    posts give what one shard gives (duplicate and null rows included)."""
+    texts = ["a b a c", "b  b", "", " a ", "c a b c a", "x a---b y", None, "a b a c", "é ñ é"]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(t):
+        seen.add(1)
+        return t
+
+    df = spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts)] + [(None, "a c")], "post_id long, text string") \
+        .select("post_id", F.udf(count, "string")("text").alias("text"))
+    lex = spark.createDataFrame([
+        ("t", "uni", "a", 0.5, 3, 1), ("t", "uni", "", 0.4, 1, 1), ("t", "uni", "é", -0.5, 1, 1), ("t", "bi", "b ", 0.3, 1, 1),
+        ("t", "bi", "a b", 1.0, 1, 1), ("t", "pair", "a---c", 0.75, 1, 1), ("t", "pair", "c---a b", -0.4, 1, 1),
+        ("t", "pair", "é---é", 0.2, 1, 1), ("t", "pair", "---a", 0.1, 1, 1)],
+        "lexicon string, kind string, term string, score double, n_pos int, n_neg int")
+    read = lambda: sorted(L.lexicon_features(df, lex, "t").collect(), key=str)
+    spark.conf.set("moodgrid.broadcast.maxRows", "2")
+    got = read()
+    spark.conf.unset("moodgrid.broadcast.maxRows")
+    assert seen.value == len(texts) + 1
+    monkeypatch.setattr(L, "SHARD_BYTES", 4)
+    assert read() == got
+    d = {"uni": {"a": 0.5, "": 0.4, "é": -0.5}, "bi": {"b ": 0.3, "a b": 1.0},
+         "pair": {"a---c": 0.75, "c---a b": -0.4, "é---é": 0.2, "---a": 0.1}}
+    want = sorted([(i % 7, *(_brute_lex(t.split(" "), d) if t is not None else [0] * 12)) for i, t in enumerate(texts)]
+                  + [(None, *_brute_lex(["a", "c"], d))], key=str)
+    flat = lambda rows: sorted([[str(r[0]), *[round(float(x), 9) for x in r[1:]]] for r in rows])
+    assert flat(got) == flat(want)
+
+
 def test_histogram_counts_sum_and_single_bucket(spark):
     vals = spark.createDataFrame([(float(x),) for x in [1, 2, 2, 3, 10]], "v double")
     h = MT.linear_histogram(vals, "v", 4).orderBy("bucket").collect()
