@@ -90,6 +90,28 @@ def test_lexicon_features_of_any_lexicon_prepare_a_post_once(spark, monkeypatch)
     assert flat(got) == flat(want)
 
 
+def test_lexicon_terms_are_counted_where_the_posts_lie(spark):
+    """A stretch of posts gives one row per distinct term, however many
+    posts hold it, with the counts of the terms listed post by post."""
+    texts = ["a b c d", "a b c d", "a  b", "", "x---y z w", "x y---z w", "é ñ é ñ é", "a", " a b c", None]
+    rows = [(i, C.POS if i % 2 else C.NEG, t) for i, t in enumerate(texts)]
+    want = {}
+    for _, label, t in rows:
+        w = t.split(" ") if t is not None else []
+        n = range(len(w))
+        bi = [" ".join(w[i:i + 2]) for i in n[:-1]]
+        terms = {("uni", x) for x in w if x} | {("bi", x) for x in bi}
+        terms |= {("pair", x) for i in n[:-2] for x in (f"{w[i]}---{w[i + 2]}", f"{w[i]}---{bi[i + 1]}", f"{bi[i]}---{w[i + 2]}")}
+        terms |= {("pair", f"{bi[i]}---{bi[i + 2]}") for i in n[:-3]}
+        for key in terms:
+            at = want.setdefault(key, [0, 0])
+            at[label != C.POS] += 1
+    df = spark.createDataFrame(rows, "post_id long, label int, text string").coalesce(1)
+    got = X._lex_counts(df).collect()
+    assert len(got) == len(want)
+    assert {(r["kind"], r["term"]): [r["n_pos"], r["n_neg"]] for r in got} == want
+
+
 def test_histogram_counts_sum_and_single_bucket(spark):
     vals = spark.createDataFrame([(float(x),) for x in [1, 2, 2, 3, 10]], "v double")
     h = MT.linear_histogram(vals, "v", 4).orderBy("bucket").collect()
