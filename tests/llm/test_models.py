@@ -41,6 +41,17 @@ def test_code_map_and_tally():
     assert sum(int(p[1].sum()) for p in parts if p is not None) == 1200
 
 
+def test_model_file_is_small():
+    for n in (700, 9_000, 40_000):  # slots follow the keys, not the next power of two
+        assert B.CodeMap.size_for(n) <= n / 0.6
+    t = B.Tally()
+    for c in B.chunks(pa.array(["some text of many different words " * 3, "another text"] * 40)):
+        t.add(ppm.grams(c, 5)[0])
+    kept = ppm.Trie(*t.rest(), 5).arrays()
+    counted = [v for k, v in kept.items() if not k.startswith(("codes", "ctx"))]
+    assert counted and all(v.dtype.itemsize <= 2 for v in counted)
+
+
 def brute_ppm(train, text, order):
     """log10 probability by the definition, with dictionaries."""
     full = Counter()
