@@ -78,6 +78,16 @@ def test_models_reach_the_optimum(rows, nnz, tol, grid):
         assert norms[k]["relative"] == pytest.approx(want, rel=1e-3, abs=1e-9) and norms[k]["n_rows"] == len(ids)
 
 
+def test_many_blocks_close_the_gap_for_large_c(rows):
+    vec = LM.fit_vectoriser(rows, SLOTS, np.array([0.2, 0.5]))
+    specs = [LM.Spec(f, c) for f in (1, 2, 4) for c in (3.0, 9.0)]
+    got = LM.fit_models(rows, vec, specs, nnz_per_block=500, max_rounds=15)
+    assert (got.gaps <= LM.TOLERANCE).all()
+    whole = LM.fit_models(rows, vec, specs, tol=1e-6)
+    margins = [np.array([r["margins"] for r in LM.model_margins(m, rows).orderBy("post_id").collect()]) for m in (got, whole)]
+    assert margins[0] == pytest.approx(margins[1], abs=0.1)
+
+
 def test_both_solvers_agree_and_warm_start(rows):
     vec = LM.fit_vectoriser(rows, SLOTS, np.array([0.2, 0.5]))
     specs = [LM.Spec(f, 0.5) for f in (1, 2, 4)]
