@@ -13,11 +13,14 @@ hypernym, so any two words of it are related.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from .lookup import materialise, sized_lookup
+from .lookup import materialise, max_rows, sized_lookup, spread
 
 TOP = -1
 SCHEMES = ("path", "wup", "lch")
@@ -144,14 +147,12 @@ def word_similarity(synsets: DataFrame, words: DataFrame, targets: DataFrame,
         return mine.join(up, ["pos", "synset"]).groupBy("word", "pos", "ancestor").agg(F.min("d").alias(d)) \
             .withColumnRenamed("word", word)
 
-    b = sized_lookup(of(targets, "word_b", "db").join(depth, ["pos", "ancestor"], "left")
-                     .withColumn("depth", F.coalesce("depth", F.lit(1))))  # the top itself
-    # one shuffle by (word, pos) serves both aggregations of a word's rows
-    a = of(words, "word_a", "da").repartition("word_a", "pos")
-    far = F.col("da") + F.col("db")
-    best = a.join(b, ["pos", "ancestor"]).groupBy("word_a", "pos", "word_b").agg(
-        F.min(far + 1).alias("l"),
-        F.max(2.0 * F.col("depth") / (far + 2 * F.col("depth"))).alias("wup"))
+    b = materialise(of(targets, "word_b", "db").join(depth, ["pos", "ancestor"], "left")
+                    .withColumn("depth", F.coalesce("depth", F.lit(1))))  # the top itself
+    # one shuffle by (word, pos) serves both aggregations of a word's rows; few bytes, but
+    # much work per row, so the number of parts is fixed
+    a = spread(of(words, "word_a", "da"), "word_a", "pos")
+    best = _best_paths(a, b) if b.count() <= max_rows(b) else _joined_paths(a, b)
     longest = F.coalesce(*[F.when(F.col("pos") == p, F.lit(m)) for p, m in sorted(most.items())], F.lit(1))
     score = {"path": 1.0 / F.col("l"), "lch": F.log(2.0 * longest / F.col("l")), "wup": F.col("wup")}
     return best.select("word_a", "pos", "word_b", F.explode(F.array(*[
@@ -159,6 +160,69 @@ def word_similarity(synsets: DataFrame, words: DataFrame, targets: DataFrame,
         .select("word_a", "pos", "word_b", "x.scheme", "x.score")
 
 
+def _joined_paths(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(word_a, pos, word_b, l, wup) of words and targets that share an ancestor."""
+    far = F.col("da") + F.col("db")
+    return a.join(b, ["pos", "ancestor"]).groupBy("word_a", "pos", "word_b").agg(
+        F.min(far + 1).alias("l"),
+        F.max(2.0 * F.col("depth") / (far + 2 * F.col("depth"))).alias("wup"))
+
+
+_CELLS = 1 << 20  # words x targets of one step
+
+
+def _best_paths(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``_joined_paths`` of targets within the broadcast bound: tasks lay the
+    targets below each ancestor of a word over one row of a matrix."""
+    rows = b.select("pos", "ancestor", "word_b", "db", "depth").toArrow().sort_by([("pos", "ascending"), ("ancestor", "ascending")])
+    # at most one entry per part of speech
+    parts = {p: rows.filter(pc.equal(rows["pos"], p)) for p in rows["pos"].unique().to_pylist() if p is not None}
+    shared = b.sparkSession.sparkContext.broadcast({p: _below(t) for p, t in parts.items()})
+    lists = a.groupBy("pos", "word_a").agg(F.collect_list(F.struct("ancestor", "da")).alias("up"))
+
+    def task(batches):
+        for batch in batches:
+            for p in batch.column("pos").unique().to_pylist():
+                if p in shared.value:
+                    mine = batch.filter(pc.equal(batch.column("pos"), p))
+                    step = max(1, _CELLS // len(shared.value[p][0]))
+                    for i in range(0, mine.num_rows, step):
+                        yield _matrix(p, mine.slice(i, step), *shared.value[p])
+
+    return lists.mapInArrow(task, "word_a string, pos string, word_b string, l int, wup double")
+
+
+def _below(t: pa.Table) -> tuple:
+    """Targets, ancestors, their first entries, and the entries' targets,
+    distances and depths, of rows in order of ancestors."""
+    words = t["word_b"].combine_chunks().dictionary_encode()
+    up, first = np.unique(t["ancestor"].to_numpy(), return_index=True)
+    return (words.dictionary, up, np.append(first, t.num_rows), words.indices.to_numpy(),
+            t["db"].to_numpy().astype(np.int64), t["depth"].to_numpy().astype(np.int64))
+
+
+def _matrix(pos: str, words: pa.RecordBatch, targets, up, first, target, db, depth) -> pa.RecordBatch:
+    lists = words.column("up")
+    row = np.repeat(np.arange(words.num_rows), lists.value_lengths().to_numpy())
+    flat = lists.flatten()
+    ancestor, da = flat.field("ancestor").to_numpy(), flat.field("da").to_numpy().astype(np.int64)
+    at = np.minimum(np.searchsorted(up, ancestor), len(up) - 1)
+    known = up[at] == ancestor
+    at, row, da = at[known], row[known], da[known]
+    size = first[at + 1] - first[at]
+    entry = np.repeat(first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+    far = np.repeat(da, size) + db[entry]
+    cell = np.repeat(row, size) * len(targets) + target[entry]
+    length = np.full(words.num_rows * len(targets), np.iinfo(np.int32).max, np.int64)
+    wup = np.zeros(len(length))
+    np.minimum.at(length, cell, far + 1)
+    np.maximum.at(wup, cell, 2.0 * depth[entry] / (far + 2 * depth[entry]))
+    met = np.flatnonzero(length < np.iinfo(np.int32).max)
+    return pa.record_batch({
+        "word_a": words.column("word_a").take(pa.array(met // len(targets))), "pos": pa.repeat(pos, len(met)),
+        "word_b": targets.take(pa.array(met % len(targets))), "l": pa.array(length[met].astype(np.int32)), "wup": pa.array(wup[met])})
+
+
 # --------------------------------------------------------------------------
 # T6 rule lemmatiser
 # --------------------------------------------------------------------------

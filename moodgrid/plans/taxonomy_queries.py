@@ -11,7 +11,7 @@ from ..functions import constants as C
 from ..functions import text as T
 from ..operators import mutators as M
 from ..operators import taxonomy as X
-from ..operators.lookup import materialise
+from ..operators.lookup import materialise, sized_lookup
 from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as S
 from ..sources.fixtures_sql import sql_with
@@ -121,9 +121,11 @@ def _register_scores(scheme: str) -> None:
         """U9 with rule lemmas (T6), the dictionary's words (J3) and the
         taxonomy measure."""
         posts, synsets = S.clean_posts(spark, sf_dir), _synsets(spark, sf_dir)
-        words = materialise(X.senses(synsets).select("word").distinct())
-        sim = materialise(_similarity(spark, sf_dir, synsets, scheme))
-        s = M.similarity_cluster_scores(posts, _lemmas(spark, sf_dir, posts, synsets), words,
+        words = sized_lookup(X.senses(synsets).select("word").distinct())
+        # a form without a row is its own lemma
+        lemmas = sized_lookup(_lemmas(spark, sf_dir, posts, synsets).where("lemma <> form"))
+        sim = _similarity(spark, sf_dir, synsets, scheme)
+        s = M.similarity_cluster_scores(posts, lemmas, words,
                                         S.word_clusters(spark, sf_dir), sim, scheme)
         return s.select("post_id", "cluster", F.round("score", 6).alias("score"))
 

@@ -147,3 +147,16 @@ def test_files_of_a_distribution(spark, scratch, synsets):
                           X.senses(synsets).select("word", "pos"))
     words = {r.word for r in E.read_wordnet_lemmas(spark, f"{scratch}/data.*", table).collect()}
     assert {"entity", "animal", "dog", "puppy"} <= words
+
+
+def test_matrix_and_join_give_the_same_pairs(spark):
+    """Word pairs of the task matrix are those of the join on ancestors,
+    also with a word that shares no ancestor."""
+    a = spark.createDataFrame([("x", "n", -1, 2), ("x", "n", 5, 1), ("y", "n", -1, 1), ("y", "v", -1, 1), ("z", "n", 9, 0)],
+                              "word_a string, pos string, ancestor bigint, da int")
+    b = spark.createDataFrame([("p", "n", -1, 3, 1), ("p", "n", 5, 1, 2), ("q", "n", -1, 1, 1), ("q", "n", 7, 0, 3)],
+                              "word_b string, pos string, ancestor bigint, db int, depth int")
+    rows = [sorted(map(tuple, f(a, b).select("word_a", "pos", "word_b", "l", "wup").collect()))
+            for f in (X._best_paths, X._joined_paths)]
+    assert rows[0] == rows[1]
+    assert [r[:4] for r in rows[0]] == [("x", "n", "p", 3), ("x", "n", "q", 4), ("y", "n", "p", 5), ("y", "n", "q", 3)]
