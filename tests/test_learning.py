@@ -231,3 +231,22 @@ def test_tfidf_does_not_depend_on_the_shards(spark):
     for (p, _), w in one.items():
         length[p] = length.get(p, 0) + w * w
     assert all(v == pytest.approx(1.0) for v in length.values())
+
+
+def test_shards_store_texts_and_return_only_codes_of_several_posts(spark):
+    posts = spark.createDataFrame([(1, "ab cd ab"), (2, "cd ef"), (3, None), (None, "gh")], "post_id bigint, text string").repartition(2)
+    shards, rows, size = TS.term_shards(posts, shard_bytes=5)
+    assert (rows, size) == (4, 15) and shards.columns == ["shard", "post_id", "text"] and shards.count() == 4
+    found = TS.corpus_frequencies(shards, size, TS.word_units, 1, 2).collect()
+    df = [n for r in found for n in np.frombuffer(r["df"], np.int64).tolist()]
+    codes = {c for r in found for c in np.frombuffer(r["codes"], np.uint64).tolist()}
+    t = next(TS.text_shards(pa.array(["cd"])))
+    assert codes == set(TS.ngram_codes(t, TS.word_units, 1, 1)[0].tolist()) and set(df) == {2}
+
+
+def test_rounding_in_tasks_is_that_of_spark(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.random(20_000), (rng.integers(0, 10 ** 6, 5_000) * 10 + 5) / 1e7, [0.0, 1.0, 5e-7, 0.0000015]])
+    frame = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double")
+    want = [r[0] for r in frame.select("i", F.round("x", 6).alias("r")).orderBy("i").select("r").collect()]
+    assert TF.rounded(x, 6).tolist() == want
