@@ -263,3 +263,13 @@ def test_components_of_a_long_chain(spark):
         .union(spark.createDataFrame([(5000, 5001), (5002, 5001), (7, 7)], "src bigint, dst bigint"))
     got = component_labels(edges).groupBy("comp").count().orderBy("comp").collect()
     assert [tuple(r) for r in got] == [(0, 1000), (5000, 3)]
+
+
+def test_last_tag_wins_without_sorting_tokens(spark):
+    posts = spark.createDataFrame([(1, "cats run cats dog", "N V A N"), (2, "dog dog", "N R"), (3, None, None)],
+                                  "post_id bigint, text string, tags string")
+    lemma = spark.createDataFrame([("cats", "n", "cat"), ("cats", "a", "cat")], "form string, pos string, lemma string")
+    words = spark.createDataFrame([("cat",), ("dog",)], "word string")
+    out = M.lemmatised_words(posts, F.broadcast(lemma), F.broadcast(words))
+    assert sorted(map(tuple, out.select("post_id", "word", "pos").collect())) == [(1, "cat", "a"), (1, "dog", "n"), (2, "dog", "r")]
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
