@@ -8,6 +8,7 @@ from moodgrid.operators import distance as D
 from moodgrid.operators import etl as E
 from moodgrid.operators import lexicon as L
 from moodgrid.operators import metrics as MT
+from moodgrid.operators import mutators as M
 from moodgrid.operators import selection as SL
 from moodgrid.sources import fixtures as X
 from tests.conftest import SF_SMALL
