@@ -12,6 +12,7 @@ from moodgrid.operators import kmeans as KM
 from moodgrid.operators import linear as LM
 from moodgrid.operators import termshards as TS
 from moodgrid.operators import tfidf as TF
+from moodgrid.plans import learn as LR
 
 SLOTS = 64
 
@@ -102,6 +103,43 @@ def test_both_solvers_agree_and_warm_start(rows):
         assert (warm.gaps <= tol).all() and warm.weights == pytest.approx(a.weights, abs=near)
 
 
+def test_packed_rows_equal_the_features(rows):
+    vec = LM.fit_vectoriser(rows, SLOTS, np.array([0.2, 0.5]))._replace(blocks=(0.3, 0.7))
+    ids, _, x = dense(rows, vec)
+    lines = np.random.default_rng(2).normal(size=(3, vec.size))
+    seen = {}
+    for batch in LM.packed_rows(rows, vec, ("post_id",)).toArrow().to_batches():
+        for i in range(batch.num_rows):
+            piece, total = LM.Piece(batch, i, SLOTS), np.zeros(vec.size)
+            got = piece.dots(LM.slot_weights(lines, vec.idf()))
+            mine = np.searchsorted(ids, batch.column("post_id")[i].values.to_numpy())
+            assert got == pytest.approx(x[mine] @ lines.T, rel=1e-5, abs=1e-5)
+            piece.add_rows(total, got[:, 0])
+            total[:2 * SLOTS] *= vec.idf()
+            assert total == pytest.approx(x[mine].T @ got[:, 0], abs=1e-5)
+            seen.update(dict.fromkeys(mine.tolist()))
+    assert len(seen) == len(ids)
+
+
+def test_few_passes_close_the_gap(rows, monkeypatch):
+    vec = LM.fit_vectoriser(rows, SLOTS, np.array([0.2, 0.5]))
+    calls, one = [], LM._pass
+    monkeypatch.setattr(LM, "_pass", lambda *a, **k: calls.append(1) or one(*a, **k))
+    got = LM.fit_models(rows, vec, [LM.Spec(f, 9.0) for f in (1, 2, 4)], nnz_per_block=500)
+    assert (got.gaps <= LM.TOLERANCE).all() and len(calls) <= 25
+
+
+def test_clusters_are_fitted_on_all_posts(spark):
+    union = LR.Union(bits=4)
+    width = len(LR.dense_feature_columns())
+    last = 10_030  # more than the 10,000 rows the fit was once cut to
+    data = spark.range(last).select(
+        F.col("id").alias("post_id"), F.array(F.when(F.col("id") < 10_000, F.col("id") % 8).otherwise(12).cast("int")).alias("idx"),
+        F.array(F.lit(1.0).cast("float")).alias("tf"), F.array_repeat(F.lit(0.0), width).alias("dense"))
+    vec, centers = LR.labelled_cluster_fit(data, k=3, union=union)
+    assert vec.n == last and vec.df[12] == last - 10_000 and np.abs(centers[12]).max() > 0
+
+
 def test_folds_groups_and_saving(spark, rows, scratch, monkeypatch):
     vec = LM.fit_vectoriser(rows, SLOTS, np.array([0.2, 0.5]))
     monkeypatch.setattr(LM, "MODELS_AT_ONCE", 2)
@@ -181,6 +219,14 @@ def test_sparse_rows_equal_dense_ones(rows, spark):
     assert settled and centers.T == pytest.approx(c)
 
 
+def test_clusters_of_packed_rows_equal_those_of_sparse_ones(rows):
+    vec = LM.fit_vectoriser(rows, SLOTS, np.array([0.2, 0.5]))
+    start = dense(rows, vec)[2][:3].T.copy()
+    centers, rounds, _ = KM.sparse_lloyd(LM.feature_rows(rows, vec, ("post_id",)), start, tol=1e-9)
+    packed, again, settled = KM.packed_lloyd(LM.packed_rows(rows, vec, ("post_id",)), vec, start, tol=1e-9)
+    assert settled and again == rounds and packed == pytest.approx(centers, abs=1e-6)
+
+
 def test_edit_distances_and_best_cluster(spark):
     rng = random.Random(2)
 
