@@ -140,6 +140,23 @@ def test_clusters_are_fitted_on_all_posts(spark):
     assert vec.n == last and vec.df[12] == last - 10_000 and np.abs(centers[12]).max() > 0
 
 
+def test_feature_table_stores_packed_terms(spark):
+    rng = np.random.default_rng(6)
+    idx = [np.sort(rng.choice(1 << 19, n, replace=False)).astype(np.int32) for n in (0, 1, 3000, 7)]
+    tf = [rng.integers(1, 400, len(x)).astype(np.float32) for x in idx]
+    packed = [LR._packed_terms(i, t) for i, t in zip(idx, tf)]
+    got = LR.unpacked_terms(pa.array(packed, pa.binary())).to_pylist()
+    assert [r["idx"] for r in got] == [x.tolist() for x in idx] and [r["tf"] for r in got] == [x.tolist() for x in tf]
+    assert len(packed[2]) < 3 * 3000  # 8 bytes an entry as two arrays
+    lexicon = spark.createDataFrame([("nrc", "uni", "ab", 1.0)], "lexicon string, kind string, term string, score double")
+    posts = spark.createDataFrame([(1, 1, "ab cd ab", "N V N"), (2, None, "", "N")], "post_id bigint, label int, text string, tags string")
+    feats = LR.feature_table(posts, lexicon)
+    rows = {r["post_id"]: r for r in feats.collect()}
+    assert rows[1]["idx"] == sorted(rows[1]["idx"]) and max(rows[1]["tf"]) == 2.0 and rows[2]["idx"] == []
+    plan = feats._jdf.queryExecution().optimizedPlan().toString()
+    assert "terms" in plan  # what is stored; arrays are made where they are read
+
+
 def test_folds_groups_and_saving(spark, rows, scratch, monkeypatch):
     vec = LM.fit_vectoriser(rows, SLOTS, np.array([0.2, 0.5]))
     monkeypatch.setattr(LM, "MODELS_AT_ONCE", 2)
