@@ -129,6 +129,19 @@ def test_few_passes_close_the_gap(rows, monkeypatch):
     assert (got.gaps <= LM.TOLERANCE).all() and len(calls) <= 25
 
 
+def test_a_grid_goes_on_from_the_last_c(rows, monkeypatch):
+    vec = LM.fit_vectoriser(rows, SLOTS, np.array([0.2, 0.5]))
+    firsts, one = [], LM._pass
+    monkeypatch.setattr(LM, "MODELS_AT_ONCE", 2)
+    monkeypatch.setattr(LM, "_pass", lambda x, v, specs, kind, w=None, d=None: firsts.append(np.abs(w).max()) or one(x, v, specs, kind, w, d))
+    specs = [LM.Spec(f, c) for c in (8.0, 9.0) for f in (1, 2)]
+    got = LM.fit_models(rows, vec, specs, nnz_per_block=500)
+    assert (got.gaps <= LM.TOLERANCE).all() and got.specs == specs
+    assert firsts[0] == 0 and firsts.count(0.0) < len(firsts) / 2 and firsts[len(firsts) // 2:].count(0.0) == 0
+    alone = LM.fit_models(rows, vec, specs[2:], tol=1e-7)
+    assert got.weights[:, 2:] == pytest.approx(alone.weights, abs=0.1)
+
+
 def test_clusters_are_fitted_on_all_posts(spark):
     union = LR.Union(bits=4)
     width = len(LR.dense_feature_columns())
